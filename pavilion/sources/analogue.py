@@ -33,7 +33,7 @@ TABLES = {
                CASE WHEN inn = 1 THEN t2 ELSE t1 END AS bat, CASE WHEN inn = 1 THEN t1 ELSE t2 END AS bowl,
                CASE WHEN pk % 17 = 0 THEN 1 + q % 2 END AS wides, CASE WHEN pk % 29 = 0 AND pk % 17 <> 0 THEN 1 END AS noballs,
                CASE WHEN pk % 37 = 0 THEN 1 END AS byes, CASE WHEN pk % 41 = 0 THEN 2 END AS legbyes,
-               CASE WHEN pk % 17 = 0 THEN 0 ELSE CASE q % 8 WHEN 1 THEN 1 WHEN 2 THEN 4 WHEN 4 THEN 2 WHEN 5 THEN 6 WHEN 6 THEN 1 WHEN 7 THEN 3 ELSE 0 END END AS runs_batter,
+               CASE WHEN pk % 17 = 0 OR (floor(seq / 6) % 8 = 5 AND n % 2 = 0) THEN 0 ELSE CASE q % 8 WHEN 1 THEN 1 WHEN 2 THEN 4 WHEN 4 THEN 2 WHEN 5 THEN 6 WHEN 6 THEN 1 WHEN 7 THEN 3 ELSE 0 END END AS runs_batter,
                CAST((floor(seq / 7) + q % 2) % 11 AS INT) AS striker, CAST((floor(seq / 7) + 1 - q % 2) % 11 AS INT) AS partner,
                CAST(6 + (floor(seq / 6) + CASE WHEN pk % 43 = 0 THEN 1 ELSE 0 END) % 5 AS INT) AS bowler_slot
         FROM (SELECT x.*, m.t1, m.t2, m.match_id, CAST(row_number() OVER (PARTITION BY x.n, x.inn ORDER BY l_orderkey, l_linenumber, pk, l_suppkey, l_shipdate) - 1 AS INT) AS seq
@@ -69,6 +69,16 @@ TABLES = {
                CASE WHEN number % 9 IN (0, 1, 5) THEN 'Spin' WHEN number % 9 IN (2, 3, 4, 6) THEN 'Pace' END AS bowling_group,
                'Team ' || CAST(team_no AS STRING) || '|Club ' || CAST(number % 8 AS STRING) AS teams_played_for
         FROM a_players WHERE number % 10 <> 7""",
+    "a_sheet": """
+        SELECT 's' || CAST(number AS STRING) AS sheet_player_id, CASE WHEN number % 20 = 3 THEN 'Player ' || CAST(number - 1 AS STRING) ELSE player_name END AS batting_name, 'Full ' || player_name AS full_name,
+               CASE WHEN number % 7 = 0 THEN 'Nowhere' ELSE 'TEAM ' || CAST(team_no AS STRING) END AS country_name, '19' || CAST(60 + number % 40 AS STRING) || '-0' || CAST(1 + number % 9 AS STRING) || '-1' || CAST(number % 10 AS STRING) || 'T00:00' AS date_of_birth,
+               CASE number % 8 WHEN 0 THEN 'Batter' WHEN 1 THEN 'Opening batter' WHEN 2 THEN 'Wicketkeeper batter' WHEN 3 THEN 'Bowling allrounder' WHEN 4 THEN 'Bowler' WHEN 5 THEN 'Top-order batter' WHEN 6 THEN 'Allrounder' ELSE 'Unknown' END AS position_name,
+               CASE WHEN number % 2 = 0 THEN 'Right-hand bat' ELSE 'Left-hand bat' END AS batting_style,
+               CASE number % 12 WHEN 0 THEN 'Right-arm offbreak' WHEN 1 THEN 'Legbreak googly' WHEN 2 THEN 'Slow left-arm orthodox' WHEN 3 THEN 'Right-arm fast-medium' WHEN 4 THEN 'Left-arm fast' WHEN 5 THEN 'Right-arm medium' WHEN 6 THEN 'Right-arm slow' WHEN 7 THEN 'Left-arm slow-medium'
+                    WHEN 8 THEN 'Right-arm bowler' WHEN 9 THEN ' ' WHEN 10 THEN 'Left-arm wrist-spin' END AS bowling_style,
+               CASE WHEN number % 3 = 0 THEN 'Elsewhere XI' ELSE 'team-' || CAST(team_no AS STRING) || ' Reserves|Club ' || CAST(number % 8 AS STRING) END AS major_team_names,
+               CASE WHEN number % 4 = 0 THEN '' ELSE 'https://example.org/' || CAST(number AS STRING) END AS headshot_url
+        FROM a_players WHERE number % 9 <> 8""",
 }
 
 

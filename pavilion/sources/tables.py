@@ -243,6 +243,6 @@ class SourceResolver:
             return meta | {"path": where[0], "from": where[1], "error": str(e), "stale": today - changed > self.stale_days * 86400}
 
 
-def file_names(spark: SparkSession, folder: str, pattern: str = r"\.json$") -> list[str]:
+def file_names(spark: SparkSession, folder: str, pattern: str = r"\.(json|txt)$") -> list[str]:
     at, fs = _fs(spark, folder)
     return sorted(s.getPath().getName() for s in fs.listStatus(at) if re.search(pattern, s.getPath().getName()))
