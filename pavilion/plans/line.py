@@ -12,7 +12,7 @@ from pavilion.functions.metrics import Metric, metric
 from pavilion.functions.rules import PHASES, UNMAPPED
 from pavilion.plans.spec import Spec, scoped
 
-EPOCH = F.lit("1970-01-01").cast("date")
+EPOCH = "1970-01-01"
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,7 @@ class Dimension:
 
 
 def _day(column: str = "match_date") -> Column:
-    return F.datediff(F.col(column), EPOCH)
+    return F.datediff(F.col(column), F.lit(EPOCH).cast("date"))
 
 
 def _result(spec: Spec) -> Column:
