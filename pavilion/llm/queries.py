@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pavilion.llm import chat_tools, decontam, html_extract, near_dedup, packing, sharding, substring_dedup, token_counts, topk_search, toxicity
+from pavilion.llm.sql import ORACLES
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,3 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngram_decontamination": lambda s, d: decontam.digest(_table(s, d, "documents"), _table(s, d, "benchmark")),
         "op10_ffd_packing": _documents(packing.packed),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
