@@ -16,7 +16,7 @@ k rows a query, and shards merge by rank in two steps.
 Defined results: vectors that are null, hold a null or a non-finite component take no part; components beyond a vector's
 end are zero, so an empty vector scores 0; a candidate is any row but the query's own, by id: rows that share an id are one
 candidate if equal, else the better, and are never candidates of their own id; rows without an id take no part; ties go
-to the smaller id; an empty table gives no rows.
+to the smaller id; scores beyond 64 bits are the nearest 64-bit number; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -119,8 +119,7 @@ class Shard:
         alive = np.flatnonzero(self.ids != query_id)
         q = [int(x) for x in query]
         scores = [sum(a * int(b) for a, b in zip(q, self.postings[: len(q), v], strict=True)) for v in alive]
-        if any(not -(1 << 63) <= s < 1 << 63 for s in scores):
-            raise ArithmeticError("a score doesn't fit a 64-bit integer")
+        scores = [min(max(s, -(1 << 63)), (1 << 63) - 1) for s in scores]
         return self._top(self.ids[alive], np.array(scores, np.int64), k)
 
     def _top(self, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:

@@ -72,12 +72,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with at most ``most`` bytes of text together, one row at least."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows, ``rows`` at most and with at most ``most`` bytes of text together, one row at least."""
     _, offs = buffers(batch.column(column))
     at, n = 0, batch.num_rows
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1))
         yield batch.slice(at, to - at)
         at = to
 
