@@ -6,12 +6,15 @@ bin i, so no bin stays empty. A bin keeps the least (round, hash). Large sets ar
 of equal bins estimates the Jaccard similarity with concentration bounds as for independent samples.
 (S. Dahlgaard, M. B. T. Knudsen, M. Thorup, *Fast similarity sketching*, FOCS 2017.)
 
-*Banding.* BANDS bands of ROWS bins; two sets of similarity 0.75 share no band with probability (1 - 0.75**4)**40 < 3e-7.
+*Banding.* BANDS bands of ROWS bins, of the first bins; two sets of similarity 0.75 share no band with probability
+(1 - 0.75**4)**40 < 3e-7.
 
 *Verification.* Sets with equal digests are one class, represented by its least id. Within a band's bucket each set is
-compared with the bucket's least, on the full sets, and linked if 100 * intersection >= 75 * union. Components of these
-links are then contracted; buckets that still hold several components have every pair *between* components compared. So
-every candidate pair is either compared or already known to be connected, without all pairs of a group.
+compared with the bucket's least. A pair whose sketches agree too little is ruled out: a pair of similarity 0.75 has less
+than 0.58 of the banded bins, or less than 0.664 of all bins, equal with probability < 3e-7. The others are compared on
+the full sets, and linked if 100 * intersection >= 75 * union. Components of these links are contracted; in buckets that
+still hold several components, pairs *between* components are ruled out or compared in the same way. So every candidate
+pair is compared, ruled out, or known to be connected, and of a group of copies only few pairs become rows.
 
 Buckets are combined in each batch before the exchange: a bucket that a third of all documents share is one entry for
 each batch. Components are found by least-label propagation with pointer jumping, in tables, never on the driver.
@@ -34,8 +37,12 @@ from pavilion.llm.blobs import BUCKET_HASHES, bucket_ranges, from_planes, planes
 from pavilion.llm.tables import least_by, looked_up, written
 from pavilion.llm.words import SPACED, Words, mix, slices
 
-SHINGLE, BANDS, ROWS, NUMERATOR = 5, 40, 4, 75
-COORDS = BANDS * ROWS
+SHINGLE, BANDS, ROWS, COORDS, NUMERATOR = 5, 40, 4, 640, 75
+BANDED = BANDS * ROWS
+#: Rows of a block of a bucket, and the shares of equal banded bins and of all bins that a pair needs to be compared.
+BLOCK, LEAST_BANDED, LEAST = 1024, 0.58, 0.664
+#: Rows whose sketches are made at once.
+SKETCHED = 2000
 _ROUND, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -91,31 +98,36 @@ def sketches(sets: np.ndarray, offsets: np.ndarray, coords: int = COORDS) -> np.
 
 
 def band_hashes(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    n, coords = sketch.shape
-    parts = sketch.reshape(n, bands, coords // bands)
-    acc = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(_ROUND), (n, bands)).copy()
-    for k in range(parts.shape[2]):
+    """A hash of each band of the first bins."""
+    parts = sketch[:, : bands * ROWS].reshape(len(sketch), bands, ROWS)
+    acc = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(_ROUND), parts.shape[:2]).copy()
+    for k in range(ROWS):
         acc = mix(acc ^ parts[:, :, k])
     return acc
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), cls (a 128-bit digest of the set) and bands (64-bit hashes); the last null if empty."""
+    """doc_id, n (size of the set), cls (a 128-bit digest of the set), bands (64-bit hashes) and fine (a byte of each bin).
+
+    The last three are null if the set is empty or the document has no id.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows=SKETCHED):
                 _, sets, offs = shingle_sets(part.column("text"))
                 sizes = np.diff(offs)
                 sums = [np.r_[np.uint64(0), np.cumsum(mix(sets + np.uint64(k)))][offs] for k in (1, 2)]
                 cls = np.stack([mix(x[1:] - x[:-1] + sizes.astype(np.uint64)) for x in sums], axis=1)
-                bands = band_hashes(sketches(sets, offs))
+                sketch = sketches(sets, offs)
                 ids = part.column("doc_id").cast(pa.int64())
-                some = [s > 0 and ok for s, ok in zip(sizes.tolist(), ids.is_valid().to_pylist(), strict=True)]
-                arrays = [ids, pa.array(sizes, pa.int64()), pa.array([c.tobytes() if ok else None for c, ok in zip(cls, some, strict=True)], pa.binary()), pa.array([b.tobytes() if ok else None for b, ok in zip(bands, some, strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "cls", "bands"])
+                some = (sizes > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+                bands, fine = band_hashes(sketch).view(np.int64), sketch.astype(np.uint8)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()), mask=pa.array(~some))
+                binary = lambda x: pa.array([r.tobytes() if ok else None for r, ok in zip(x, some, strict=True)], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), binary(cls), listed, binary(fine)], names=["doc_id", "n", "cls", "bands", "fine"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, cls binary, bands binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, cls binary, bands array<long>, fine binary")
 
 
 def _star(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
@@ -142,23 +154,26 @@ def _pair_columns(pairs: np.ndarray) -> list[pa.Array]:
     return [pa.array(pairs[:, k], pa.int64()) for k in range(4)]
 
 
-def candidates(reps: DataFrame, buckets: int) -> DataFrame:
-    """Distinct pairs (a, b): each set with the least of each bucket that it is in, in its batch or among the batches' leasts."""
+def candidates(signed: DataFrame, buckets: int) -> DataFrame:
+    """Pairs (a, b): each set with the least of each bucket that it is in, in its batch or among the batches' leasts.
+
+    Of equal sets in a batch the least id goes on; equal sets of several batches may be a pair.
+    """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bands = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint64)
-            each = len(bands) // batch.num_rows
-            ids, sizes = (np.repeat(batch.column(c).to_numpy().astype(np.int64), each) for c in ("rep", "n"))
-            h, d, s, pairs = _star(bands, ids, sizes)
+            ids, sizes = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "n"))
+            cls = np.frombuffer(b"".join(batch.column("cls").to_pylist()), "V16")
+            order = np.argsort(ids, kind="stable")
+            own = order[np.unique(cls[order], return_index=True)[1]] if len(ids) else order
+            bands = batch.column("bands").flatten().to_numpy().view(np.uint64).reshape(len(ids), BANDS)[own]
+            h, d, s, pairs = _star(bands.ravel(), np.repeat(ids[own], BANDS), np.repeat(sizes[own], BANDS))
             cuts = bucket_ranges(h, 64, buckets)
             sent = [(b, planes(h[x:z], 8) + planes(d[x:z].view(np.uint64), 8) + planes(s[x:z].view(np.uint64), 4)) for b, (x, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > x]
-            none = np.full(len(sent), None)
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array([x for _, x in sent], pa.binary()), *[pa.array(none, pa.int64())] * 4], names=["bucket", "data", "a", "b", "na", "nb"])
+            names = ["bucket", "data", "a", "b", "na", "nb"]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array([x for _, x in sent], pa.binary()), *[pa.nulls(len(sent), pa.int64())] * 4], names=names)
             pairs = _able(pairs)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary()), *_pair_columns(pairs)], names=["bucket", "data", "a", "b", "na", "nb"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary()), *_pair_columns(pairs)], names=names)
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[], [], []]
@@ -169,9 +184,9 @@ def candidates(reps: DataFrame, buckets: int) -> DataFrame:
         *_, pairs = _star(*map(np.concatenate, parts))
         return pa.table(_pair_columns(_able(pairs)), names=["a", "b", "na", "nb"])
 
-    sent = written(reps.select("rep", "n", "bands").mapInArrow(local, "bucket int, data binary, " + _PAIRS), "buckets")
+    sent = written(signed.select("doc_id", "n", "cls", "bands").mapInArrow(local, "bucket int, data binary, " + _PAIRS), "buckets")
     far = sent.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(meet, _PAIRS)
-    return sent.where("bucket is null").select("a", "b", "na", "nb").unionByName(far).distinct()
+    return sent.where("bucket is null").select("a", "b", "na", "nb").unionByName(far).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -212,42 +227,83 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def between(reps: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of sets that share a bucket but no component."""
-    hashes = F.transform(F.sequence(F.lit(1), F.lit(8 * BANDS), F.lit(8)), lambda i: F.substring("bands", i, F.lit(8)))
-    near = reps.join(labels, reps.rep == labels.v).select("rep", "n", "comp", F.explode(hashes).alias("band"))
-    mixed = near.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    left = written(looked_up(near, mixed, "band", "rep"), "mixed")
-    x, y = left.alias("x"), left.alias("y")
-    able = F.expr(f"100 * least(x.n, y.n) >= {NUMERATOR} * greatest(x.n, y.n)")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") < F.col("y.comp")) & able)
-    pairs = pairs.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree in enough of the banded bins."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDED) for c in ("fa", "fb"))
+            ok = pa.array((x == y).mean(axis=1) >= LEAST_BANDED) if batch.num_rows else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
+
+    own = nodes.select("rep", F.substring("fine", 1, BANDED).alias("f"))
+    one = pairs.join(own.select(F.col("rep").alias("a"), F.col("f").alias("fa")).hint("merge"), "a")
+    two = looked_up(one, own.select(F.col("rep").alias("b"), F.col("f").alias("fb")), "b", "a")
+    return two.select("a", "b", "fa", "fb").mapInArrow(keep, "a long, b long").distinct()
+
+
+def between(nodes: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+    """Untested pairs of sets that share a bucket but no component, and agree in enough of all bins.
+
+    A bucket of many rows is dealt in blocks, a task for each pair of blocks; a pair that shares several buckets comes from
+    the first one alone.
+    """
+    near = nodes.join(labels, nodes.rep == labels.v).select("rep", "n", "comp", F.posexplode("bands").alias("nth", "band"))
+    mixed = near.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    left = near.join(mixed.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "band")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = left.join(nodes.select("rep", "fine"), "rep").withColumn("block", block).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("_o"))
+    dealt = dealt.select("band", "nth", "rep", "n", "comp", "fine", "block", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"))
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, sizes, comps, blocks = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "comp", "block"))
+        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands, nth, one = np.ascontiguousarray(fine[:, :BANDED]).view(f"u{ROWS}"), table.column("nth")[0].as_py(), key[1].as_py() == key[2].as_py()
+        values, counts = np.unique(comps, return_counts=True)
+        outside = comps != values[counts.argmax()]  # a pair between components has an end here
+        rank = np.where(outside, np.arange(len(ids)), len(ids))
+        found = []
+        for x in np.flatnonzero(outside).tolist():
+            y = np.flatnonzero((comps != comps[x]) & (rank > x) & (one | (blocks != blocks[x])) & (100 * np.minimum(sizes, sizes[x]) >= NUMERATOR * np.maximum(sizes, sizes[x])))
+            y = y[(fine[y] == fine[x]).mean(axis=1) >= LEAST] if len(y) else y
+            y = y[(bands[y] == bands[x]).argmax(axis=1) == nth] if len(y) else y
+            found.append(np.stack([np.maximum(ids[y], ids[x]), np.minimum(ids[y], ids[x])], axis=1))
+        found = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return pa.table([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["a", "b"])
+
+    pairs = dealt.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+    return pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def clustered(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id and kept."""
     signed = written(signatures(docs), "signatures")
-    reps = least_by(signed.where("cls is not null"), ["cls"], "doc_id", "doc_id").withColumnRenamed("doc_id", "rep").drop("n")
-    members = written(looked_up(signed.where("cls is not null"), reps, "cls", "doc_id").select("doc_id", "n", "rep", F.expr("if(doc_id = rep, bands, null)").alias("bands")), "members")
-    leaders = members.where("bands is not null")
-    buckets = max(1, leaders.count() * BANDS // BUCKET_HASHES)
-    pairs = written(candidates(leaders, buckets), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Texts of the rows that were signed as representatives; rows of equal ids are one document.
-    texts = written(docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id").distinct(), "texts")
-    links = written(verified(pairs, texts), "links")
-    touched = ids.select(F.col("doc_id").alias("v"))
+    named = signed.where("cls is not null")
+    reps = least_by(named, ["cls"], "doc_id", "doc_id").select("cls", F.col("doc_id").alias("rep"))
+    members = written(looked_up(named.select("doc_id", "n", "cls"), reps, "cls", "doc_id").select("doc_id", "n", "rep"), "members")
+    buckets = max(1, members.count() * BANDS // (BUCKET_HASHES // 4))
+    found = candidates(named, buckets)
+    # Pairs of documents become pairs of their classes' representatives.
+    of = members.select("doc_id", "rep")
+    found = found.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
+    found = looked_up(found, of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")).distinct(), "b", "a").where("ra <> rb")
+    pairs = written(found.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    # Merge joins whatever the sizes: what a run moves then follows the input, and no side has to fit a broadcast.
+    nodes = written(named.select(F.col("doc_id").alias("rep"), "n", "bands", "fine").join(ids.hint("merge"), "rep", "left_semi"), "nodes")
+    texts = written(docs.where("text is not null").select("doc_id", "text").join(ids.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
+    close = written(likely(pairs, nodes), "likely")
+    links = written(verified(close, texts), "links")
+    touched = ids.select(F.col("rep").alias("v"))
     labels = _labelled(links, touched)
-    more = written(between(leaders, labels, pairs), "between")
-    if not more.isEmpty():
-        extra = written(verified(more, texts), "links")
-        if not extra.isEmpty():
-            labels = _labelled(links.unionByName(extra), touched)
-    of = labels.select(F.col("v").alias("rep"), "comp")
-    found = looked_up(members.select("doc_id", "n", "rep"), of, "rep", "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+    more = written(between(nodes, labels, close), "between")
+    extra = written(verified(more, texts), "links")
+    if not extra.isEmpty():
+        labels = _labelled(links.unionByName(extra), touched)
+    comps = labels.select(F.col("v").alias("rep"), "comp")
+    done = looked_up(members, comps, "rep", "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
     rest = signed.where("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return done.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _labelled(links: DataFrame, touched: DataFrame) -> DataFrame:
