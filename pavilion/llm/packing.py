@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pavilion.llm.tokens import TOKENIZER, WordEncoder
+from pavilion.llm.tokens import TOKENIZER, encoder
 from pavilion.llm.words import slices
 
 LENGTH, END_ID, GROUP, SEED = 4096, 2, 8192, 17
@@ -37,11 +37,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     """A row for each piece of each document; with ``with_ids`` its ids too, as little-endian 32-bit integers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer or default_tokenizer()), end_id.to_bytes(4, "little")
+        words, end = encoder(tokenizer or default_tokenizer()), end_id.to_bytes(4, "little")
         for batch in batches:
             for part in slices(batch):
                 out: list[list] = [[], [], [], [], [], []]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.rows(part.column("text")), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), words.rows(part.column("text")), strict=True):
                     ids += end
                     for at in range(0, len(ids), 4 * length):
                         own = ids[at : at + 4 * length]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pavilion.llm.packing import default_tokenizer
 from pavilion.llm.tables import new_path
-from pavilion.llm.tokens import WordEncoder
+from pavilion.llm.tokens import encoder
 from pavilion.llm.words import slices
 
 SEPARATOR, BLOCK, FILE_ROWS = 49407, 1 << 19, 50_000
@@ -35,10 +35,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """Each partition's documents as token files. The separator is written as Spark's line separator, as raw bytes."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer or default_tokenizer(), 2)
+        words = encoder(tokenizer or default_tokenizer(), 2)
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(list(encoder.rows(part.column("text"))), pa.binary())], names=["ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(words.rows(part.column("text")), pa.binary())], names=["ids"])
 
     end = separator.to_bytes(2, "little").decode("latin-1")
     ids = docs.select("text").mapInArrow(encode, "ids binary").select(F.coalesce("ids", F.lit(b"")).cast("string").alias("ids"))

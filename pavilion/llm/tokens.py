@@ -1,86 +1,109 @@
 """Token ids of texts, by word.
 
 The tokenizer's pre-tokenisation never joins text across ASCII white space, so the ids of a text are those of its words
-in order. Most words repeat: a bounded table from word to ids takes the place of encoding them again.
+in order. Most words repeat: a bounded table from word to ids takes the place of encoding them again. A word of letters
+with marks after it is two tokens' worth (``Word,`` is ``word`` and ``,``), and words of letters alone are encoded many at
+a time: each ends with a token that the vocabulary marks as a word's end, which tells where the next one begins. Wherever
+that doesn't hold, words are encoded one by one.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from itertools import chain
 
 import pyarrow as pa
 
 from pavilion.llm.words import buffers
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a worker remembers, and the longest of them in bytes.
-MOST_WORDS, MOST_LENGTH = 600_000, 48
+#: Words that a worker remembers (twice: new ones and those before), the longest of them in bytes, and words encoded at once.
+MOST_WORDS, MOST_LENGTH, AT_ONCE = 500_000, 64, 64
+#: ASCII marks that form a token of their own after letters; an apostrophe may begin a contraction.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+_encoders: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder(path: str, width: int = 4) -> WordEncoder:
+    """The worker's encoder; what it has learnt serves all tasks of the worker."""
+    if (path, width) not in _encoders:
+        _encoders[path, width] = WordEncoder(path, width)
+    return _encoders[path, width]
 
 
 class WordEncoder:
-    """``join(words)``: little-endian unsigned ids of ``width`` bytes each, of all words together."""
+    """Little-endian unsigned ids of ``width`` bytes each."""
 
     def __init__(self, path: str, width: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.width = Tokenizer.from_file(path), width
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        end = model.get("end_of_word_suffix")
+        self.ends = {i for token, i in model["vocab"].items() if token.endswith(end)} if end else set()
+        self.bytes = [i.to_bytes(width, "little") for i in range(max(model["vocab"].values()) + 1)]
         self.old: dict[bytes, bytes] = {}
         self.known: dict[bytes, bytes] = {}
 
-    def _encoded(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [b"".join(i.to_bytes(self.width, "little") for i in e.ids) for e in found]
+    def _packed(self, ids: list[int]) -> bytes:
+        table = self.bytes
+        return b"".join([table[i] if i < len(table) else i.to_bytes(self.width, "little") for i in ids])
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Encodes words that aren't known; a table of those too long to remember."""
-        if len(self.known) + len(words) > MOST_WORDS:
-            self.old, self.known = self.known, {}
-        fresh, long = [], []
-        for w in words:
-            if w in self.old:
-                self.known[w] = self.old[w]
-            else:
-                (fresh if len(w) <= MOST_LENGTH else long).append(w)
-        self.known.update(self._by_parts(fresh))
-        return dict(zip(long, self._encoded(long), strict=True)) if long else {}
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [self._packed(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone."""
+        if not self.ends:
+            return self._one_by_one(words)
+        out = []
+        groups = [words[k : k + AT_ONCE] for k in range(0, len(words), AT_ONCE)]
+        for group, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids, at, own = found.ids, 0, []
+            for k, i in enumerate(ids, 1):
+                if i in self.ends:
+                    own.append(self._packed(ids[at:k]))
+                    at = k
+            out += own if len(own) == len(group) and at == len(ids) else self._one_by_one(group)
+        return out
 
-    def _by_parts(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """A run of ASCII letters and the marks after it are tokens apart, so ``Word,`` is ``word`` and ``,``."""
-        parts, need = {}, set()
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        parts, letters, others = {}, {}, {}
         for w in words:
-            low = w.lower()
-            stem = low.rstrip(b".,;:!?")
-            if stem and stem.isalpha() and low.isascii() and len(stem) < len(low) or low != w and low.isascii() and stem == low:
-                parts[w] = (stem, low[len(stem) :])
-                need.update(x for x in parts[w] if x)
+            text = w.decode("utf-8", "replace")
+            stem = text.rstrip(_MARKS)
+            if stem.isalpha():
+                low = stem.lower() if "Σ" not in stem and "İ" not in stem else stem
+                parts[w] = (low, text[len(stem) :])
+                letters[low] = b""
+                if parts[w][1]:
+                    others[parts[w][1]] = b""
             else:
-                need.add(w)
-        need = [w for w in need if w not in self.known]
-        new = dict(zip(need, self._encoded(need), strict=True))
-        get = lambda x: new[x] if x in new else self.known[x]
-        made = {w: get(a) + (get(b) if b else b"") for w, (a, b) in parts.items()}
-        return new | made
-
-    def join(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        extra = self.learn({w for w in words if w not in self.known})
-        if not extra:
-            try:
-                return b"".join(map(self.known.__getitem__, words))
-            except KeyError:  # known words that the table has just let go
-                pass
-        own = dict.fromkeys(words)
-        left = [w for w in own if w not in extra and w not in self.known]
-        own = dict(zip(left, self._encoded(left), strict=True)) | extra
-        return b"".join(own[w] if w in own else self.known[w] for w in words)
-
-    def rows(self, column: pa.Array):
+                parts[w] = ("", text)
+                others[text] = b""
+        for known, encode in ((letters, self._letters), (others, self._one_by_one)):
+            names = [*known]
+            known.update(zip(names, encode(names), strict=True))
+        return {w: (letters[a] if a else b"") + (others[b] if b else b"") for w, (a, b) in parts.items()}
+
+    def rows(self, column: pa.Array) -> list[bytes]:
         """The ids of each row of a string column; of a null row, none."""
         data, offs = buffers(column)
         data, offs = data.tobytes(), offs.tolist()
-        for a, b in zip(offs, offs[1:], strict=False):
-            yield self.join(data[a:b].split())
+        texts = [data[a:b].split() for a, b in zip(offs, offs[1:], strict=False)]
+        if len(self.known) > MOST_WORDS:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        fresh = set(chain.from_iterable(texts)).difference(known)
+        again = fresh.intersection(old)
+        known.update(zip(again, map(old.__getitem__, again), strict=True))
+        known.update(self._learn([w for w in fresh if w not in again]))
+        out = [b"".join(map(known.__getitem__, words)) for words in texts]
+        for w in fresh:
+            if len(w) > MOST_LENGTH:
+                del known[w]
+        return out
