@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +29,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-@cache
-def _published(app: str, sf_dir: str) -> str:
-    spark = SparkSession.getActiveSession()
-    root = f"{shared_folder(spark)}/marts-{abs(hash((app, sf_dir)))}"
+_published: dict[tuple[str, str], str] = {}
+
+
+def _publish(spark: SparkSession, sf_dir: str) -> str:
+    root = f"{shared_folder(spark)}/marts-{uuid.uuid4().hex}"
 
     def keep(name, df):
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/work/{name}")
@@ -44,7 +45,10 @@ def _published(app: str, sf_dir: str) -> str:
 
 def mart_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The marts of a folder of relational tables: built, checked by every gate and published once a session, then read."""
-    return Catalog.open(spark, _published(spark.sparkContext.applicationId, sf_dir)).tables
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _published:
+        _published[key] = _publish(spark, sf_dir)
+    return Catalog.open(spark, _published[key]).tables
 
 
 def on_marts(name: str, oracle: str | None = None):
