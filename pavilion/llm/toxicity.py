@@ -144,7 +144,7 @@ def fitted(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CAT
     encoded = joined.mapInArrow(encode, "doc_id long, cells binary, " + ", ".join(f"{c} int" for c in names))
     import pickle
 
-    return pickle.loads(encoded.coalesce(1).mapInArrow(fit, "model binary").first().model)
+    return pickle.loads(encoded.repartition(1).mapInArrow(fit, "model binary").first().model)
 
 
 def scored(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, threshold: float = THRESHOLD) -> DataFrame:
