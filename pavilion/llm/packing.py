@@ -49,6 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
                             to.append(x)
                 arrays = [pa.array(x, pa.int64()) for x in out[:5]] + [pa.array(out[5], pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
+        words.forget()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 

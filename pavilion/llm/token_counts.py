@@ -39,6 +39,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         for batch in batches:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(words.rows(part.column("text")), pa.binary())], names=["ids"])
+        words.forget()
 
     end = separator.to_bytes(2, "little").decode("latin-1")
     ids = docs.select("text").mapInArrow(encode, "ids binary").select(F.coalesce("ids", F.lit(b"")).cast("string").alias("ids"))

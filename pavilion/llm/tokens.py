@@ -27,7 +27,7 @@ _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 def encoder(path: str, width: int = 4) -> WordEncoder:
-    """The worker's encoder; what it has learnt serves all tasks of the worker."""
+    """The worker's encoder; its vocabulary serves all tasks of the worker, what it learns is let go after each."""
     if (path, width) not in _encoders:
         _encoders[path, width] = WordEncoder(path, width)
     return _encoders[path, width]
@@ -90,6 +90,9 @@ class WordEncoder:
             known.update(zip(names, encode(names), strict=True))
         return {w: (letters[a] if a else b"") + (others[b] if b else b"") for w, (a, b) in parts.items()}
 
+    def forget(self) -> None:
+        self.old, self.known = {}, {}
+
     def rows(self, column: pa.Array) -> list[bytes]:
         """The ids of each row of a string column; of a null row, none."""
         data, offs = buffers(column)
