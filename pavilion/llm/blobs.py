@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes of a group of documents, and hashes of a bucket, on average.
-GROUP_BYTES, BUCKET_HASHES = 12 << 20, 2 << 20
+GROUP_BYTES, BUCKET_HASHES = 8 << 20, 2 << 20
 _WRITE = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
 
