@@ -39,8 +39,8 @@ from pavilion.llm.words import SPACED, Words, mix, slices
 
 SHINGLE, BANDS, ROWS, COORDS, NUMERATOR = 5, 40, 4, 640, 75
 BANDED = BANDS * ROWS
-#: Rows of a block of a bucket, and the shares of equal banded bins and of all bins that a pair needs to be compared.
-BLOCK, LEAST_BANDED, LEAST = 1024, 0.58, 0.664
+#: Rows of a block of a bucket, and the shares of equal banded bins and of all bins (the likely links first) that a pair needs.
+BLOCK, LEAST_BANDED, LEAST = 1024, 0.58, (0.75, 0.664)
 #: Rows whose sketches are made at once.
 SKETCHED = 2000
 _ROUND, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -147,17 +147,19 @@ def _able(pairs: np.ndarray) -> np.ndarray:
     return pairs[100 * np.minimum(pairs[:, 2], pairs[:, 3]) >= NUMERATOR * np.maximum(pairs[:, 2], pairs[:, 3])]
 
 
-_PAIRS = "a long, b long, na long, nb long"
-
-
-def _pair_columns(pairs: np.ndarray) -> list[pa.Array]:
-    return [pa.array(pairs[:, k], pa.int64()) for k in range(4)]
+def _agree(fine: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows x and y of the sketches agree in enough of the banded bins."""
+    out = np.empty(len(x), bool)
+    for k in range(0, len(x), 1 << 14):
+        out[k : k + (1 << 14)] = (fine[x[k : k + (1 << 14)]] == fine[y[k : k + (1 << 14)]]).mean(axis=1) >= LEAST_BANDED
+    return out
 
 
 def candidates(signed: DataFrame, buckets: int) -> DataFrame:
-    """Pairs (a, b): each set with the least of each bucket that it is in, in its batch or among the batches' leasts.
+    """Each set with the least of each bucket that it is in, in its batch or among the batches' leasts: rows (a, b, sure).
 
-    Of equal sets in a batch the least id goes on; equal sets of several batches may be a pair.
+    Pairs of a batch are ``sure`` to agree in enough bins, others aren't judged yet. A set that is in any bucket with others
+    is there as (a, null) at least. Of equal sets in a batch the least id goes on; equal sets of several batches may be a pair.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +167,20 @@ def candidates(signed: DataFrame, buckets: int) -> DataFrame:
             ids, sizes = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "n"))
             cls = np.frombuffer(b"".join(batch.column("cls").to_pylist()), "V16")
             order = np.argsort(ids, kind="stable")
-            own = order[np.unique(cls[order], return_index=True)[1]] if len(ids) else order
+            own = np.sort(order[np.unique(cls[order], return_index=True)[1]]) if len(ids) else order
+            own = own[np.unique(ids[own], return_index=True)[1]]  # by id
             bands = batch.column("bands").flatten().to_numpy().view(np.uint64).reshape(len(ids), BANDS)[own]
+            fine = np.frombuffer(b"".join(batch.column("fine").to_pylist()), np.uint8).reshape(len(ids), -1)[own]
             h, d, s, pairs = _star(bands.ravel(), np.repeat(ids[own], BANDS), np.repeat(sizes[own], BANDS))
             cuts = bucket_ranges(h, 64, buckets)
             sent = [(b, planes(h[x:z], 8) + planes(d[x:z].view(np.uint64), 8) + planes(s[x:z].view(np.uint64), 4)) for b, (x, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > x]
-            names = ["bucket", "data", "a", "b", "na", "nb"]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array([x for _, x in sent], pa.binary()), *[pa.nulls(len(sent), pa.int64())] * 4], names=names)
             pairs = _able(pairs)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary()), *_pair_columns(pairs)], names=names)
+            met = np.unique(pairs[:, :2])
+            sure = pairs[_agree(fine[:, :BANDED], np.searchsorted(ids[own], pairs[:, 0]), np.searchsorted(ids[own], pairs[:, 1]))]
+            n, names = len(sent), ["bucket", "data", "a", "b"]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array([x for _, x in sent], pa.binary()), *[pa.nulls(n, pa.int64())] * 2], names=names)
+            n = len(sure) + len(met)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(np.r_[sure[:, 0], met], pa.int64()), pa.concat_arrays([pa.array(sure[:, 1], pa.int64()), pa.nulls(len(met), pa.int64())])], names=names)
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[], [], []]
@@ -182,11 +189,12 @@ def candidates(signed: DataFrame, buckets: int) -> DataFrame:
             for to, x in zip(parts, (from_planes(data[: 8 * n], 8), from_planes(data[8 * n : 16 * n], 8).view(np.int64), from_planes(data[16 * n :], 4).view(np.int64)), strict=True):
                 to.append(x)
         *_, pairs = _star(*map(np.concatenate, parts))
-        return pa.table(_pair_columns(_able(pairs)), names=["a", "b", "na", "nb"])
+        pairs = _able(pairs)
+        return pa.table([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    sent = written(signed.select("doc_id", "n", "cls", "bands").mapInArrow(local, "bucket int, data binary, " + _PAIRS), "buckets")
-    far = sent.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(meet, _PAIRS)
-    return sent.where("bucket is null").select("a", "b", "na", "nb").unionByName(far).select("a", "b").distinct()
+    sent = written(signed.select("doc_id", "n", "cls", "bands", "fine").mapInArrow(local, "bucket int, data binary, a long, b long"), "buckets")
+    far = sent.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return sent.where("bucket is null").select("a", "b", F.lit(True).alias("sure")).unionByName(far.withColumn("sure", F.lit(False)))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -242,7 +250,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return two.select("a", "b", "fa", "fb").mapInArrow(keep, "a long, b long").distinct()
 
 
-def between(nodes: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+def between(nodes: DataFrame, labels: DataFrame, tested: DataFrame, least: float) -> DataFrame:
     """Untested pairs of sets that share a bucket but no component, and agree in enough of all bins.
 
     A bucket of many rows is dealt in blocks, a task for each pair of blocks; a pair that shares several buckets comes from
@@ -265,7 +273,7 @@ def between(nodes: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame
         found = []
         for x in np.flatnonzero(outside).tolist():
             y = np.flatnonzero((comps != comps[x]) & (rank > x) & (one | (blocks != blocks[x])) & (100 * np.minimum(sizes, sizes[x]) >= NUMERATOR * np.maximum(sizes, sizes[x])))
-            y = y[(fine[y] == fine[x]).mean(axis=1) >= LEAST] if len(y) else y
+            y = y[(fine[y] == fine[x]).mean(axis=1) >= least] if len(y) else y
             y = y[(bands[y] == bands[x]).argmax(axis=1) == nth] if len(y) else y
             found.append(np.stack([np.maximum(ids[y], ids[x]), np.minimum(ids[y], ids[x])], axis=1))
         found = np.concatenate(found) if found else np.empty((0, 2), np.int64)
@@ -284,22 +292,25 @@ def clustered(docs: DataFrame) -> DataFrame:
     buckets = max(1, members.count() * BANDS // (BUCKET_HASHES // 4))
     found = candidates(named, buckets)
     # Pairs of documents become pairs of their classes' representatives.
-    of = members.select("doc_id", "rep")
+    of = members.select("doc_id", "rep").distinct()
     found = found.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
-    found = looked_up(found, of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")).distinct(), "b", "a").where("ra <> rb")
-    pairs = written(found.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    found = looked_up(found, of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b", "a", "left").where("rb is null or ra <> rb")
+    pairs = written(found.groupBy(F.greatest("ra", "rb").alias("a"), F.when(F.col("rb").isNotNull(), F.least("ra", "rb")).alias("b")).agg(F.max("sure").alias("sure")), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).where("rep is not null").distinct()
     # Merge joins whatever the sizes: what a run moves then follows the input, and no side has to fit a broadcast.
     nodes = written(named.select(F.col("doc_id").alias("rep"), "n", "bands", "fine").join(ids.hint("merge"), "rep", "left_semi"), "nodes")
     texts = written(docs.where("text is not null").select("doc_id", "text").join(ids.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
-    close = written(likely(pairs, nodes), "likely")
+    pairs = pairs.where("b is not null")
+    close = written(pairs.where("sure").select("a", "b").unionByName(likely(pairs.where("not sure").select("a", "b"), nodes)), "likely")
     links = written(verified(close, texts), "links")
     touched = ids.select(F.col("rep").alias("v"))
     labels = _labelled(links, touched)
-    more = written(between(nodes, labels, close), "between")
-    extra = written(verified(more, texts), "links")
-    if not extra.isEmpty():
-        labels = _labelled(links.unionByName(extra), touched)
+    for least in LEAST:
+        more = written(between(nodes, labels, close, least), "between")
+        extra = written(verified(more, texts), "links")
+        if not extra.isEmpty():
+            links, close = links.unionByName(extra), close.unionByName(more)
+            labels = _labelled(links, touched)
     comps = labels.select(F.col("v").alias("rep"), "comp")
     done = looked_up(members, comps, "rep", "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
     rest = signed.where("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
