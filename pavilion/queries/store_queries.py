@@ -31,7 +31,7 @@ def _b(x: str) -> str:
 
 
 # ---- windows --------------------------------------------------------------------------------------------------------
-@on_store("first_appearance_rank", sql("SELECT * FROM crease"))
+@on_store("first_appearance_rank", sql("SELECT * REPLACE (CAST(innings_number AS BIGINT) AS innings_number) FROM crease"))
 def _(s):
     return marts.first_appearances(s)
 
@@ -41,12 +41,12 @@ def _(s):
     return marts.delivery_facts(s).select(*marts.BALL, "legal_ordinal", "phase", "odi_phase")
 
 
-@on_store("progression_buckets", sql("SELECT match_id, innings_number, batter_id, fb1_10_runs, fb1_10_balls, fb11_20_runs, fb11_20_balls, fb21p_runs, fb21p_balls FROM batting"))
+@on_store("progression_buckets", sql("SELECT match_id, CAST(innings_number AS BIGINT) AS innings_number, batter_id, fb1_10_runs, fb1_10_balls, fb11_20_runs, fb11_20_balls, fb21p_runs, fb21p_balls FROM batting"))
 def _(s):
     return marts.batting(s, marts.delivery_facts(s)).select("match_id", "innings_number", "batter_id", *[f"fb{b}_{w}" for b in ("1_10", "11_20", "21p") for w in ("runs", "balls")])
 
 
-@on_store("maiden_two_level", sql("SELECT * FROM maiden"))
+@on_store("maiden_two_level", sql("SELECT * REPLACE (CAST(innings_number AS BIGINT) AS innings_number) FROM maiden"))
 def _(s):
     return marts.maidens(marts.delivery_facts(s).where("bowler_id is not null"))
 
@@ -232,7 +232,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(gates.duplicates(analogue.store(spark, sf_dir)["deliveries"], ["match_id", "over_number"]).where("n > 6"))
 
 
-@query("gate_rollup", sql("SELECT match_id, innings_number, batter_id, CAST(sum(runs) AS BIGINT) AS f_runs, CAST(sum(runs) AS BIGINT) - 1 AS runs FROM matchup_batting WHERE bowling_type <> 'Pace' GROUP BY 1, 2, 3 HAVING sum(runs) > 20"))
+@query("gate_rollup", sql("SELECT match_id, CAST(innings_number AS BIGINT) AS innings_number, batter_id, CAST(sum(runs) AS BIGINT) AS f_runs, CAST(sum(runs) AS BIGINT) - 1 AS runs FROM matchup_batting WHERE bowling_type <> 'Pace' GROUP BY 1, 2, 3 HAVING sum(runs) > 20"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mart_tables(spark, sf_dir)
     fine = m["matchup_batting"].where("bowling_type <> 'Pace'")
