@@ -159,7 +159,7 @@ def candidates(signed: DataFrame, buckets: int) -> DataFrame:
     """Each set with the least of each bucket that it is in, in its batch or among the batches' leasts: rows (a, b, sure).
 
     Pairs of a batch are ``sure`` to agree in enough bins, others aren't judged yet. A set that is in any bucket with others
-    is there as (a, null) at least. Of equal sets in a batch the least id goes on; equal sets of several batches may be a pair.
+    is there as (a, null) at least, also if none of its buckets' leasts is of a size that it can be linked with. Of equal sets in a batch the least id goes on; equal sets of several batches may be a pair.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +174,8 @@ def candidates(signed: DataFrame, buckets: int) -> DataFrame:
             h, d, s, pairs = _star(bands.ravel(), np.repeat(ids[own], BANDS), np.repeat(sizes[own], BANDS))
             cuts = bucket_ranges(h, 64, buckets)
             sent = [(b, planes(h[x:z], 8) + planes(d[x:z].view(np.uint64), 8) + planes(s[x:z].view(np.uint64), 4)) for b, (x, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > x]
-            pairs = _able(pairs)
             met = np.unique(pairs[:, :2])
+            pairs = _able(pairs)
             sure = pairs[_agree(fine[:, :BANDED], np.searchsorted(ids[own], pairs[:, 0]), np.searchsorted(ids[own], pairs[:, 1]))]
             n, names = len(sent), ["bucket", "data", "a", "b"]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array([x for _, x in sent], pa.binary()), *[pa.nulls(n, pa.int64())] * 2], names=names)
@@ -189,8 +189,9 @@ def candidates(signed: DataFrame, buckets: int) -> DataFrame:
             for to, x in zip(parts, (from_planes(data[: 8 * n], 8), from_planes(data[8 * n : 16 * n], 8).view(np.int64), from_planes(data[16 * n :], 4).view(np.int64)), strict=True):
                 to.append(x)
         *_, pairs = _star(*map(np.concatenate, parts))
-        pairs = _able(pairs)
-        return pa.table([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        able = _able(pairs)
+        met = np.setdiff1d(pairs[:, :2], able[:, :2])
+        return pa.table([pa.array(np.r_[able[:, 0], met], pa.int64()), pa.concat_arrays([pa.array(able[:, 1], pa.int64()), pa.nulls(len(met), pa.int64())])], names=["a", "b"])
 
     sent = written(signed.select("doc_id", "n", "cls", "bands", "fine").mapInArrow(local, "bucket int, data binary, a long, b long"), "buckets")
     far = sent.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(meet, "a long, b long")

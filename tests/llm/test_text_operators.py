@@ -123,6 +123,22 @@ def test_near_dedup_between_components(spark):
     assert got == sorted(brute.components(data), key=str)
 
 
+@pytest.mark.parametrize("rows", [10000, 1])
+def test_near_dedup_behind_longer_documents(spark, rows):
+    """Short near copies whose buckets are all led by documents too long for a link, in one batch and each in its own."""
+    passage = [f"w{k}" for k in range(100)]
+    data = [(k, " ".join([*passage, *[f"l{k}_{j}" for j in range(54)]])) for k in range(120)]
+    data += [(k, " ".join([*passage, *[f"s{k}_{j}" for j in range(12)]])) for k in (500, 501)]
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in data], SCHEMA).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        got = rows_of(near_dedup.clustered(docs), "doc_id", "n_shingles", "component_id", "kept")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(brute.components(data), key=str)
+    assert {c for i, _, c, _ in got if i >= 500} == {500}
+
+
 def test_sketch_estimates_similarity():
     import numpy as np
 
