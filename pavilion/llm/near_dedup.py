@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,19 +256,19 @@ def between(nodes: DataFrame, labels: DataFrame, tested: DataFrame, least: float
     """Untested pairs of sets that share a bucket but no component, and agree in enough of all bins.
 
     A bucket of many rows is dealt in blocks, a task for each pair of blocks; a pair that shares several buckets comes from
-    the first one alone.
+    the first one alone, by the bands' own hashes: bands whose bins only agree in ``fine`` needn't share a bucket.
     """
     near = nodes.join(labels, nodes.rep == labels.v).select("rep", "n", "comp", F.posexplode("bands").alias("nth", "band"))
     mixed = near.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
     left = near.join(mixed.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "band")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = left.join(nodes.select("rep", "fine"), "rep").withColumn("block", block).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("_o"))
-    dealt = dealt.select("band", "nth", "rep", "n", "comp", "fine", "block", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"))
+    dealt = left.join(nodes.select("rep", "fine", "bands"), "rep").withColumn("block", block).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("_o"))
+    dealt = dealt.select("band", "nth", "rep", "n", "comp", "fine", "bands", "block", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"))
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, sizes, comps, blocks = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "comp", "block"))
         fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(len(ids), -1)
-        bands, nth, one = np.ascontiguousarray(fine[:, :BANDED]).view(f"u{ROWS}"), table.column("nth")[0].as_py(), key[1].as_py() == key[2].as_py()
+        bands, nth, one = pc.list_flatten(table.column("bands")).to_numpy().reshape(len(ids), BANDS), table.column("nth")[0].as_py(), key[1].as_py() == key[2].as_py()
         values, counts = np.unique(comps, return_counts=True)
         outside = comps != values[counts.argmax()]  # a pair between components has an end here
         rank = np.where(outside, np.arange(len(ids)), len(ids))

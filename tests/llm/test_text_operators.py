@@ -139,6 +139,15 @@ def test_near_dedup_behind_longer_documents(spark, rows):
     assert {c for i, _, c, _ in got if i >= 500} == {500}
 
 
+def test_near_dedup_pairs_of_bands_alike_in_bytes(spark):
+    """A first band of equal low bytes but another hash is no shared bucket; the second one is, and the third."""
+    bands = {1: [10, 20, 30, *range(100, 137)], 2: [11, 20, 30, *range(200, 237)]}
+    nodes = spark.createDataFrame([(k, 50, b, bytearray(near_dedup.COORDS)) for k, b in bands.items()], "rep long, n long, bands array<long>, fine binary")
+    labels = spark.createDataFrame([(1, 1), (2, 2)], "v long, comp long")
+    for least in near_dedup.LEAST:
+        assert rows_of(near_dedup.between(nodes, labels, labels.toDF("a", "b").limit(0), least), "a", "b") == [(2, 1)]
+
+
 def test_sketch_estimates_similarity():
     import numpy as np
 
