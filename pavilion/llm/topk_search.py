@@ -5,7 +5,7 @@ vectors' values there. With a shard's least and greatest value of each term, a t
 max(q * least, q * greatest) to a score and at least the smaller of the two. Terms are sorted by how far these bounds are
 apart. The *essential* ones, those first terms after which the rest could no longer lift a vector over the k-th best, are
 traversed for all vectors in steps; at each step vectors whose upper bound (partial sum plus what the rest adds at most)
-is below the k-th best lower bound are let go. The *non-essential* terms are then only probed for vectors still
+is below the k-th best lower bound, taken over the best row of each id, are let go. The *non-essential* terms are then only probed for vectors still
 competitive. Ties count as competitive, so results are exact. Scores are integers: sums are taken in double precision
 where they are provably below 2**53, else in Python integers.
 
@@ -84,6 +84,8 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids = ids
+        names, self.name = np.unique(ids, return_inverse=True)
+        self.names = len(names)
         self.postings = np.ascontiguousarray(values.T)
         self.least = self.postings.min(axis=1, initial=0) if values.size else np.zeros(values.shape[1])
         self.most = self.postings.max(axis=1, initial=0) if values.size else np.zeros(values.shape[1])
@@ -107,8 +109,14 @@ class Shard:
             every = len(alive) == len(self.ids)
             sums += query[step] @ (self.postings[step] if every else self.postings[np.ix_(step, alive)])
             if len(alive) > 4 * k:
-                done = at + len(step)
-                bar = np.partition(sums, len(sums) - k)[len(sums) - k] + low_rest[done]
+                done, best = at + len(step), sums
+                if self.names < len(self.ids):  # results are k ids, so rows of one id count once
+                    best = np.full(self.names, -np.inf)
+                    np.maximum.at(best, self.name[alive], sums)
+                    best = best[best > -np.inf]
+                    if len(best) < k:
+                        continue
+                bar = np.partition(best, len(best) - k)[len(best) - k] + low_rest[done]
                 keep = sums + high_rest[done] >= bar
                 if keep.sum() < 0.8 * len(alive):
                     alive, sums = alive[keep], sums[keep]

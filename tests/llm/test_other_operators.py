@@ -1,6 +1,7 @@
 """HTML extraction, sharding, top-k search and tool calls."""
 
 import json
+import math
 import random
 import zlib
 
@@ -111,6 +112,22 @@ def test_top_k(spark):
     assert topk_search.digest(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("nudge", [0.0, 0.001])
+def test_top_k_of_repeated_rows(spark, nudge):
+    """Ten rows of the best id, equal or not, leave room for nine others."""
+    rng = random.Random(4)
+    vectors = [(k, [rng.gauss(0, 0.1) for _ in range(24)]) for k in range(1, 120)]
+    query = [1.0] * 24
+    vectors += [(500, [3.0 + nudge * n] * 24) for n in range(10)]
+    frame = spark.createDataFrame([(0, query), *vectors], "vec_id long, embedding array<double>").coalesce(1)
+    best: dict[int, int] = {}
+    for i, v in vectors:
+        best[i] = max(best.get(i, -(1 << 62)), sum(1024 * math.floor(1024 * x) for x in v))
+    want = sorted(((-s, i) for i, s in best.items()))[:10]
+    got = sorted((r.rank, r.vec_id, r.score) for r in topk_search.top_k(frame.where("vec_id = 0"), frame).collect())
+    assert got == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
+
+
 def test_top_k_of_huge_values(spark):
     rows = [(0, [3.0e9, 1.0]), (1, [2.0e3, 5.0]), (2, [1.0e3, 9.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
