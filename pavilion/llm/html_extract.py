@@ -4,9 +4,10 @@ A page is read into blocks of text, each with its root-to-leaf path of block-lev
 ``a`` don't count: they are often left open). Over the page, the text length and the punctuation of all blocks of a path
 are summed and divided by the number of its blocks; both ratios are smoothed over neighbouring paths in page order by a
 Gaussian, fused (geometric mean, less the share of text in links), and paths at or above a share of the best one are
-content. Every block of a content path is content, however short it is itself. The article is the smallest element that
-holds nearly all content, or the ``article``/``main`` element with most of it; headings and short paragraphs inside
-it belong to it, while menus, forms, notices and the like (by tag, role, class or id) don't wherever they are.
+content. Every block of a content path is content, however short it is itself and wherever it is. The main container is the
+smallest element that holds nearly all content, or the ``article``/``main`` element if one holds most of it; all blocks
+inside it belong to the text, too, as do headings and blocks that aren't mostly links between blocks of content, and the
+heading before the first one. Menus, forms, notices and the like (by tag, role, class or id) don't wherever they are.
 
 Defined results: a null or empty page, and one with nothing but markup or boilerplate, has empty text; broken markup is
 read as browsers do as far as implied end tags go; repeated rows have repeated results; other columns are ignored.
@@ -151,6 +152,10 @@ def _scores(found: list[tuple[str, _Element, int]]) -> dict[tuple[str, ...], flo
     return out
 
 
+def _heading(element: _Element) -> bool:
+    return len(element.name) == 2 and element.name[0] == "h" and element.name[1] in "123456"
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
@@ -169,7 +174,7 @@ def main_text(page: str | None) -> str:
         while element:
             holders[id(element)] = element
             element = element.parent
-    named = [e for e in holders.values() if e.name in ("article", "main") and e.content]
+    named = [e for e in holders.values() if e.name in ("article", "main") and 2 * e.content > total]
     if named:
         most = max(e.content for e in named)
         chosen = max((e for e in named if e.content >= HOLDS * most), key=lambda e: len(e.path))
@@ -177,14 +182,21 @@ def main_text(page: str | None) -> str:
         chosen = max((e for e in holders.values() if e.content >= HOLDS * total), key=lambda e: len(e.path))
         if chosen.name in ("p", "li", "td", "pre", "blockquote") and chosen.parent:
             chosen = chosen.parent
-    out = []
-    for text, element, _ in found:
+    kept = []
+    for _, element, _ in found:
         own = element
         while own and own is not chosen:
             own = own.parent
-        if own:
-            out.append(text)
-    return "\n\n".join(out)
+        kept.append(own is not None or scores[element.path] >= least)
+    first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+    plain = [2 * linked < len(text) for text, _, linked in found]
+    # The title: the nearest heading before the first block, with what is between them.
+    at = first - 1
+    while at >= 0 and plain[at] and not _heading(found[at][1]):
+        at -= 1
+    while at >= 0 and _heading(found[at][1]):
+        first, at = at, at - 1
+    return "\n\n".join(text for k, (text, element, _) in enumerate(found) if kept[k] or first <= k <= last and (plain[k] or _heading(element)))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -30,6 +30,25 @@ def test_main_text_of_odd_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG = [f"Paragraph {k} of the body, with words, commas, and more. It ends here, at last." for k in range(12)]
+BODY = "".join(f"<p>{t}</p>" for t in LONG)
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        (f"<body><div id=content>{BODY}</div><article><h3>Teaser</h3><p>A teaser, of another text.</p></article></body>", LONG),
+        ("<body><div>" + "".join(f"<article><p>{t}</p></article>" for t in LONG) + "</div></body>", LONG),
+        (f"<body><div class=top><h1>The title</h1><span>3 May</span></div><div class=lead><section><p>{LONG[0]}</p></section></div><div class=rest><div>{BODY}</div></div></body>", ["The title", "3 May", LONG[0], *LONG]),
+        (f"<body><article>{BODY}</article><div class=more><p>The end, in a box of its own, with words. It counts, too.</p></div></body>", [*LONG, "The end, in a box of its own, with words. It counts, too."]),
+    ],
+)
+def test_main_text_of_several_containers(page, texts):
+    got = html_extract.main_text(page).split("\n\n")
+    assert [t for t in texts if t not in got] == []
+    assert len(got) >= len(texts)
+
+
 def test_long_page_is_whole():
     words = [f"word{k}, and more." for k in range(30000)]
     page = "<article>" + "".join(f"<p>{w}</p>" for w in words) + "</article>"
