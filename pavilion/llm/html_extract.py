@@ -7,7 +7,9 @@ Gaussian, fused (geometric mean, less the share of text in links), and paths at
 content. Every block of a content path is content, however short it is itself and wherever it is. The main container is the
 smallest element that holds nearly all content, or the ``article``/``main`` element if one holds most of it; all blocks
 inside it belong to the text, too, as do headings and blocks that aren't mostly links between blocks of content, and the
-heading before the first one. Menus, forms, notices and the like (by tag, role, class or id) don't wherever they are.
+heading before the first one. Menus, forms, notices and the like don't wherever they are: by tag, or by a role, class or id
+that consists of such words, unless the element holds most of the page's content (advertisements, comments and notices of
+cookies never belong).
 
 Defined results: a null or empty page, and one with nothing but markup or boilerplate, has empty text; broken markup is
 read as browsers do as far as implied end tags go; repeated rows have repeated results; other columns are ignored.
@@ -29,9 +31,14 @@ from pavilion.llm.words import slices
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select"}
-BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head", "figcaption"}
+BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head"}
 #: Words of class, id and role that mark what isn't the article.
 MARKS = {"ad", "ads", "adsense", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "consent", "copyright", "dialog", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "promo", "promoted", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget"}
+#: Words that a class or id may have beside marks and still be one ("sidebar-left", but not "has-sidebar").
+BOXES = {"area", "bar", "block", "bottom", "box", "container", "content", "inner", "left", "link", "links", "list", "main", "outer", "post", "posts", "right", "section", "site", "top", "wrap", "wrapper"}
+#: Marks of what isn't the article even if it is most of the page, and those that an article's own header may have.
+NEVER = {"ad", "ads", "adsense", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "consent", "cookie", "cookies", "disqus", "gdpr", "replies", "reply", "respond"}
+HEADERS = {"banner", "header", "masthead"}
 #: A new element of these closes an open paragraph; list items, cells and the like close one another.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _SCOPE = {"ul", "ol", "dl", "table", "body", "html", "article", "section", "main", "div", "blockquote", "nav", "aside", "footer", "header", "form"}
@@ -43,28 +50,38 @@ THRESHOLD, WIDTH, HOLDS = 0.2, 0.7, 0.9
 
 
 class _Element:
-    __slots__ = ("name", "parent", "boilerplate", "content", "path")
+    __slots__ = ("name", "parent", "boilerplate", "marks", "content", "path")
 
-    def __init__(self, name: str, parent: _Element | None, boilerplate: bool):
-        self.name, self.parent, self.boilerplate, self.content = name, parent, boilerplate, 0
+    def __init__(self, name: str, parent: _Element | None, boilerplate: bool, marks: frozenset[str] = frozenset()):
+        self.name, self.parent, self.boilerplate, self.marks, self.content = name, parent, boilerplate, marks, 0
         self.path = (*parent.path, name) if parent else (name,)
 
 
 def _is_boilerplate(name: str, attributes: str, parent: _Element) -> bool:
     if name in BOILERPLATE or name == "header" and not {"article", "main"} & {*parent.path}:
         return True
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
-            if key in ("class", "id", "role") and name not in ("html", "body", "main") and MARKS.intersection(re.split(r"[^a-z]+", value)):
-                return True
+    for m in _ATTRIBUTE.finditer(attributes or ""):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true":
+            return True
     return False
 
 
+def _marks(name: str, attributes: str, parent: _Element) -> frozenset[str]:
+    """The marks of an element's classes, id and role, of those that consist of marks and BOXES only."""
+    out: set[str] = set()
+    if attributes and name not in ("html", "body", "main"):
+        for m in _ATTRIBUTE.finditer(attributes):
+            if m[1].lower() in ("class", "id", "role"):
+                for token in (m[2] or "").strip("\"'").lower().split():
+                    words = {w for w in re.split(r"[^a-z]+", token) if w}
+                    if words <= MARKS | BOXES:
+                        out |= words & MARKS
+    return frozenset(out - HEADERS if out and {"article", "main"} & {*parent.path} else out)
+
+
 def blocks(page: str) -> list[tuple[str, _Element, int]]:
-    """Text, innermost block element and characters in links of each block outside boilerplate, in page order."""
+    """Text, innermost block element and characters in links of each block outside boilerplate, in page order; marked ones, too."""
     root = _Element("", None, False)
     stack, out = [root], []
     text: list[str] = []
@@ -124,7 +141,7 @@ def blocks(page: str) -> list[tuple[str, _Element, int]]:
                 break
         if attributes.endswith("/"):
             continue
-        stack.append(_Element(name, stack[-1], stack[-1].boilerplate or _is_boilerplate(name, attributes, stack[-1])))
+        stack.append(_Element(name, stack[-1], stack[-1].boilerplate or _is_boilerplate(name, attributes, stack[-1]), _marks(name, attributes, stack[-1])))
     flush()
     return out
 
@@ -152,12 +169,33 @@ def _scores(found: list[tuple[str, _Element, int]]) -> dict[tuple[str, ...], flo
     return out
 
 
+def _unmarked(found: list[tuple[str, _Element, int]]) -> list[tuple[str, _Element, int]]:
+    """The blocks outside marked elements. A mark doesn't count on what holds most of the page's content, or a heading of an article's header."""
+    marked: dict[int, tuple[_Element, list[int]]] = {}
+    for k, (_, element, _) in enumerate(found):
+        while element:
+            if element.marks:
+                marked.setdefault(id(element), (element, []))[1].append(k)
+            element = element.parent
+    if not marked:
+        return found
+    scores = _scores(found)
+    least = THRESHOLD * max(scores.values())
+    content = [len(text) - min(linked, len(text)) if scores[element.path] >= least else 0 for text, element, linked in found]
+    gone: set[int] = set()
+    for element, own in marked.values():
+        titles = {"header"} & {*element.path} and any(_heading(found[k][1]) for k in own)
+        if element.marks & NEVER or not titles and 2 * sum(content[k] for k in own) <= sum(content):
+            gone.update(own)
+    return [block for k, block in enumerate(found) if k not in gone]
+
+
 def _heading(element: _Element) -> bool:
     return len(element.name) == 2 and element.name[0] == "h" and element.name[1] in "123456"
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+    found = _unmarked(blocks(page or ""))
     if not found:
         return ""
     scores = _scores(found)

@@ -49,6 +49,23 @@ def test_main_text_of_several_containers(page, texts):
     assert len(got) >= len(texts)
 
 
+@pytest.mark.parametrize("mark", ["content has-sidebar", "with-sidebar", "elementor-widget elementor-widget-text-editor", "post has-banner", "no-comments", "search-result", "form-page", "widget", "form", "search"])
+def test_main_text_in_wrappers_named_like_boilerplate(mark):
+    assert html_extract.main_text(f"<body><div class='{mark}'>{BODY}</div><div class=sidebar><p>Other, things. Many.</p></div></body>") == "\n\n".join(LONG)
+
+
+@pytest.mark.parametrize("header", ["<header class='entry-header'>", "<header class='header'>", "<div class='article-header'>", "<div class='header'>", "<header><div class='share'>"])
+def test_main_text_keeps_an_articles_header_and_captions(header):
+    page = f"<body><article>{header}<h1>The title</h1></div></header>{BODY}<figure><img src=x><figcaption>A caption, of a picture.</figcaption></figure><div class='social-share'><p>Share, this.</p></div></article></body>"
+    assert html_extract.main_text(page) == "\n\n".join(["The title", *LONG, "A caption, of a picture."])
+
+
+@pytest.mark.parametrize("mark", ["comments", "comment-list", "cookie-notice", "ad", "ads right"])
+def test_main_text_without_what_never_belongs(mark):
+    more = "".join(f"<p>{t}</p>" for t in ["It is long, this one. Very long, and more."] * 40)
+    assert html_extract.main_text(f"<body><div>{BODY}</div><div class='{mark}'>{more}</div></body>") == "\n\n".join(LONG)
+
+
 def test_long_page_is_whole():
     words = [f"word{k}, and more." for k in range(30000)]
     page = "<article>" + "".join(f"<p>{w}</p>" for w in words) + "</article>"
