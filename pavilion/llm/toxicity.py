@@ -112,12 +112,13 @@ def _rows_of(cells: np.ndarray, offs: np.ndarray, keep: np.ndarray) -> tuple[np.
 
 
 def fitted(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE) -> Chain:
-    """The chain, trained in one task on a bounded sample of labelled rows."""
+    """The chain, trained in one task on a bounded sample of labelled documents, one row each."""
     chosen = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(c).cast("int").alias(f"y_{k}") for k, c in enumerate(categories)])
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # Labels of documents that aren't there don't use up the bound.
+    chosen = chosen.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    names = [f"y_{k}" for k in range(len(categories))]
     # At most ``sample`` rows of a few numbers: small enough for a broadcast at any size of the corpus.
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    names = [f"y_{k}" for k in range(len(categories))]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,6 +143,8 @@ def fitted(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CAT
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["model"])
 
     encoded = joined.mapInArrow(encode, "doc_id long, cells binary, " + ", ".join(f"{c} int" for c in names))
+    # Of rows with equal ids one is learnt from, the same in each run.
+    encoded = encoded.groupBy("doc_id").agg(F.min("cells").alias("cells"), *[F.max(c).alias(c) for c in names])
     import pickle
 
     return pickle.loads(encoded.repartition(1).mapInArrow(fit, "model binary").first().model)

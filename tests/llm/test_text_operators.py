@@ -243,3 +243,19 @@ def test_toxicity(spark):
     assert toxicity.clean(docs, table).columns == docs.columns
     assert toxicity.digest(docs, table.limit(0)).where("toxic").count() == 0
     assert toxicity.digest(docs.limit(0), table).count() == 0
+
+
+def test_toxicity_learns_from_documents_that_are_there(spark):
+    """Labels of absent documents take no part in the bound, and rows of one id count once."""
+    import numpy as np
+
+    rng = random.Random(6)
+    data = [(k, " ".join(rng.choice(["w1", "w2", "w3", "w4", *(["vile"] if k % 2 else [])]) for _ in range(40)), "x", 7) for k in range(60)]
+    labels = [(k, k % 3 % 2, k % 2) for k in range(60)]
+    docs, own = spark.createDataFrame(data, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    many = own.unionByName(spark.range(1000, 6000).selectExpr("id AS doc_id", "0 AS quality", "0 AS toxic"))
+    again = docs.unionByName(spark.createDataFrame([data[1]] * 50, SCHEMA))
+    want = toxicity.fitted(docs, own)
+    for chain in (toxicity.fitted(docs, many, sample=60), toxicity.fitted(again, own)):
+        assert [m.share for m in chain.models] == [m.share for m in want.models]
+        assert all(np.array_equal(a.w, b.w) for a, b in zip(chain.models, want.models, strict=True))
