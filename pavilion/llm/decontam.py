@@ -97,16 +97,22 @@ def flagged(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> DataFram
     added = T.StructType([T.StructField("_dc_words", T.LongType()), T.StructField("_dc_mask", T.BinaryType()), T.StructField("_dc_items", T.ArrayType(T.StringType()))])
     schema = T.StructType(docs.schema.fields + added.fields)
     out = docs.select("*", F.lit(None).cast("long").alias("_dc_words"), F.lit(None).cast("binary").alias("_dc_mask"), F.lit(None).cast("array<string>").alias("_dc_items"))
-    for k, grams in enumerate([*blocks(benchmark, n)] or [NGrams([], n)]):
+
+    def passed(rows: DataFrame, grams: NGrams) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(grams)
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch):
                     yield _scanned(part, shared.value)
 
-        out = (written(out, "decontam") if k else out).mapInArrow(scan, schema)
-    return out
+        return rows.mapInArrow(scan, schema)
+
+    some = False
+    for grams in blocks(benchmark, n):
+        out, some = passed(written(out, "decontam") if some else out, grams), True
+        del grams  # the driver holds one block at a time
+    return out if some else passed(out, NGrams([], n))
 
 
 def _scanned(part: pa.RecordBatch, grams: NGrams) -> pa.RecordBatch:

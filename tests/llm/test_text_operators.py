@@ -64,6 +64,27 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert rows_of(decontam.digest(docs, benchmark), "doc_id", "n_words", "n_hit", "n_items", "items_sha256") == whole
 
 
+def test_decontamination_holds_one_block(spark, docs, monkeypatch):
+    """A block is scanned for, and let go, before the next one is made."""
+    import gc
+    import weakref
+
+    held, most, made = weakref.WeakSet(), [], decontam.NGrams.__init__
+
+    def counted(self, *args):
+        gc.collect()
+        made(self, *args)
+        held.add(self)
+        most.append(len(held))
+
+    items = [(k, t) for k, (_, t) in enumerate(corpus()) if t][:12]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(decontam.NGrams, "__init__", counted)
+    decontam.flagged(docs, benchmark)
+    assert len(most) > 2 and max(most) == 1
+
+
 def test_decontamination_cuts_spans(spark, docs):
     benchmark = spark.createDataFrame([(1, corpus()[0][1])], "item_id long, text string")
     cut = decontam.remove_spans(docs, benchmark)
