@@ -16,11 +16,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pavilion.llm.tokens import TOKENIZER, encoder
-from pavilion.llm.words import slices
+from pavilion.llm.words import let_go, slices
 
 LENGTH, END_ID, GROUP, SEED = 4096, 2, 8192, 17
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -34,24 +35,33 @@ def default_tokenizer() -> str:
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """A row for each piece of each document; with ``with_ids`` its ids too, as little-endian 32-bit integers."""
+    """A row for each piece of each document; with ``with_ids`` its ids too, as little-endian 32-bit integers.
+
+    ``again`` is 0 but for repeated rows: it tells apart those that a task has, so that they are dealt like any others.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = encoder(tokenizer or default_tokenizer()), end_id.to_bytes(4, "little")
+        seen, base = {}, (TaskContext.get().partitionId() + 1) << 32
         for batch in batches:
             for part in slices(batch):
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], []]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), words.rows(part.column("text")), strict=True):
                     ids += end
                     for at in range(0, len(ids), 4 * length):
                         own = ids[at : at + 4 * length]
-                        for to, x in zip(out, (doc, at // 4, len(own) // 4, zlib.crc32(own), len(ids) // 4, own if with_ids else None), strict=True):
+                        crc, again = zlib.crc32(own), 0
+                        if len(own) < 4 * length:
+                            key = hash((doc, at, crc))
+                            again = seen.get(key, 0)
+                            seen[key] = again + 1
+                        for to, x in zip(out, (doc, at // 4, len(own) // 4, crc, len(ids) // 4, again and base + again, own if with_ids else None), strict=True):
                             to.append(x)
-                arrays = [pa.array(x, pa.int64()) for x in out[:5]] + [pa.array(out[5], pa.binary())] * with_ids
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
-        words.forget()
+                arrays = [pa.array(x, pa.int64()) for x in out[:6]] + [pa.array(out[6], pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "again"] + ["ids"] * with_ids)
+        let_go()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(cut, PIECES + ", again long" + ", ids binary" * with_ids)
 
 
 class Bins:
@@ -94,7 +104,7 @@ def packed_group(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
 def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, group: int = GROUP, seed: int = SEED) -> DataFrame:
     """Every piece with its sequence and its place there."""
     groups = max(1, -(-docs.count() // group))
-    dealt = pieces(docs, tokenizer, length, end_id).withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces(docs, tokenizer, length, end_id).withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "again"), F.lit(groups))).drop("again")
 
     def pack(own: pa.Table) -> pa.Table:
         number = own.column("_group")[0].as_py() << 32

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pavilion.llm.packing import default_tokenizer
 from pavilion.llm.tables import new_path
 from pavilion.llm.tokens import encoder
-from pavilion.llm.words import slices
+from pavilion.llm.words import let_go, slices
 
 SEPARATOR, BLOCK, FILE_ROWS = 49407, 1 << 19, 50_000
 
@@ -39,7 +39,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         for batch in batches:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(words.rows(part.column("text")), pa.binary())], names=["ids"])
-        words.forget()
+        let_go()
 
     end = separator.to_bytes(2, "little").decode("latin-1")
     ids = docs.select("text").mapInArrow(encode, "ids binary").select(F.coalesce("ids", F.lit(b"")).cast("string").alias("ids"))

@@ -1,10 +1,11 @@
 """Token ids of texts, by word.
 
 The tokenizer's pre-tokenisation never joins text across ASCII white space, so the ids of a text are those of its words
-in order. Most words repeat: a bounded table from word to ids takes the place of encoding them again. A word of letters
-with marks after it is two tokens' worth (``Word,`` is ``word`` and ``,``), and words of letters alone are encoded many at
-a time: each ends with a token that the vocabulary marks as a word's end, which tells where the next one begins. Wherever
-that doesn't hold, words are encoded one by one.
+in order. It lower-cases, and a letter followed by an ASCII mark other than an apostrophe always ends a token, so texts are
+lower-cased and split there as bytes, all at once, before words are told apart: ``Word,`` is ``word`` and ``,``. Most words
+repeat: a bounded table from word to ids takes the place of encoding them again. Words of letters alone are encoded many
+at a time: each ends with a token that the vocabulary marks as a word's end, which tells where the next one begins.
+Wherever that doesn't hold, words are encoded one by one, and with a tokenizer of another kind texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,26 +14,47 @@ import json
 import os
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 
 from pavilion.llm.words import buffers
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a worker remembers (twice: new ones and those before), the longest of them in bytes, and words encoded at once.
-MOST_WORDS, MOST_LENGTH, AT_ONCE = 500_000, 64, 64
-#: ASCII marks that form a token of their own after letters; an apostrophe may begin a contraction.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that a worker remembers (twice: new ones and those before; some 200 bytes each), the longest of them in bytes, and words encoded at once.
+MOST_WORDS, MOST_LENGTH, AT_ONCE = 250_000, 64, 64
+#: Fixed value: how a tokenizer of this kind splits texts.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: ASCII letters; the marks that end a token after a letter (all but the apostrophe).
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+#: Letters of two bytes, by the first: U+00C0 to U+017F but the signs of times and division, and I with a dot, which is two characters in lower case.
+_PAIRS = ((0xC3, (0x97, 0xB7)), (0xC4, (0xB0,)), (0xC5, ()))
+#: What forbids to lower-case a text as bytes: special tokens, and the first bytes of marks that compose with ASCII letters.
+_AS_IS = (b"<|", b"\xcc", b"\xcd")
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 def encoder(path: str, width: int = 4) -> WordEncoder:
-    """The worker's encoder; its vocabulary serves all tasks of the worker, what it learns is let go after each."""
+    """The worker's encoder; its vocabulary and what it learns serve all tasks of the worker."""
     if (path, width) not in _encoders:
         _encoders[path, width] = WordEncoder(path, width)
     return _encoders[path, width]
 
 
+def split_marks(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with a space between each letter and a mark after it, and the offsets of rows among them."""
+    if len(raw) < 2:
+        return raw, offs
+    letter = _LETTER[raw]
+    for first, others in _PAIRS:
+        second = np.flatnonzero(raw[:-1] == first) + 1
+        letter[second[~np.isin(raw[second], others)]] = True
+    cuts = np.flatnonzero(letter[:-1] & _MARK[raw[1:]]) + 1
+    return np.insert(raw, cuts, 0x20), offs + np.searchsorted(cuts, offs)
+
+
 class WordEncoder:
     """Little-endian unsigned ids of ``width`` bytes each."""
 
@@ -40,63 +62,58 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.width = Tokenizer.from_file(path), width
+        self.tokenizer, self.width, self.kind = Tokenizer.from_file(path), width, f"<u{width}"
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        end = model.get("end_of_word_suffix")
-        self.ends = {i for token, i in model["vocab"].items() if token.endswith(end)} if end else set()
-        self.bytes = [i.to_bytes(width, "little") for i in range(max(model["vocab"].values()) + 1)]
+            made = json.load(file)
+        end = made["model"].get("end_of_word_suffix")
+        kinds = json.dumps([made.get("normalizer"), made.get("pre_tokenizer")])
+        self.by_word = bool(end) and '"Lowercase"' in kinds and json.dumps(_PATTERN) in kinds
+        self.ends = np.zeros(max(made["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for token, i in made["model"]["vocab"].items() if end and token.endswith(end)]] = True
         self.old: dict[bytes, bytes] = {}
         self.known: dict[bytes, bytes] = {}
 
     def _packed(self, ids: list[int]) -> bytes:
-        table = self.bytes
-        return b"".join([table[i] if i < len(table) else i.to_bytes(self.width, "little") for i in ids])
+        ids = np.array(ids, np.int64)
+        if len(ids) and ids.max() >> 8 * self.width:
+            raise ValueError(f"an id has more than {self.width} bytes")
+        return ids.astype(self.kind).tobytes()
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
-        return [self._packed(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Words of letters alone."""
-        if not self.ends:
-            return self._one_by_one(words)
-        out = []
+        out, width = [], self.width
         groups = [words[k : k + AT_ONCE] for k in range(0, len(words), AT_ONCE)]
-        for group, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids, at, own = found.ids, 0, []
-            for k, i in enumerate(ids, 1):
-                if i in self.ends:
-                    own.append(self._packed(ids[at:k]))
-                    at = k
-            out += own if len(own) == len(group) and at == len(ids) else self._one_by_one(group)
-        return out
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        parts, letters, others = {}, {}, {}
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            stem = text.rstrip(_MARKS)
-            if stem.isalpha():
-                low = stem.lower() if "Σ" not in stem and "İ" not in stem else stem
-                parts[w] = (low, text[len(stem) :])
-                letters[low] = b""
-                if parts[w][1]:
-                    others[parts[w][1]] = b""
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.int64)
+            at = (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1).tolist()
+            if len(at) == len(group) and at[-1] == len(ids):
+                data = self._packed(ids)
+                out += [data[a * width : z * width] for a, z in zip([0, *at], at, strict=False)]
             else:
-                parts[w] = ("", text)
-                others[text] = b""
-        for known, encode in ((letters, self._letters), (others, self._one_by_one)):
-            names = [*known]
-            known.update(zip(names, encode(names), strict=True))
-        return {w: (letters[a] if a else b"") + (others[b] if b else b"") for w, (a, b) in parts.items()}
+                out += self._one_by_one(group)
+        return out
 
-    def forget(self) -> None:
-        self.old, self.known = {}, {}
+    def _learn(self, words: list[bytes]) -> None:
+        texts = b" ".join(words).decode("utf-8", "replace").split(" ")
+        letters = [k for k, text in enumerate(texts) if text.isalpha()]
+        others = sorted({*range(len(words))}.difference(letters)) if len(letters) < len(words) else []
+        for at, encode in ((letters, self._letters), (others, self._one_by_one)):
+            self.known.update(zip([words[k] for k in at], encode([texts[k] for k in at]), strict=True))
 
     def rows(self, column: pa.Array) -> list[bytes]:
         """The ids of each row of a string column; of a null row, none."""
-        data, offs = buffers(column)
-        data, offs = data.tobytes(), offs.tolist()
+        raw, offs = buffers(column)
+        if not self.by_word:
+            data = raw.tobytes()
+            return self._one_by_one([data[a:z].decode("utf-8", "replace") for a, z in zip(offs.tolist(), offs[1:].tolist(), strict=False)])
+        data = raw.tobytes()
+        if not any(x in data for x in _AS_IS):
+            raw, offs = split_marks(raw, offs)
+            data = raw.tobytes().lower()
+        offs = offs.tolist()
         texts = [data[a:b].split() for a, b in zip(offs, offs[1:], strict=False)]
         if len(self.known) > MOST_WORDS:
             self.old, self.known = self.known, {}
@@ -104,7 +121,7 @@ class WordEncoder:
         fresh = set(chain.from_iterable(texts)).difference(known)
         again = fresh.intersection(old)
         known.update(zip(again, map(old.__getitem__, again), strict=True))
-        known.update(self._learn([w for w in fresh if w not in again]))
+        self._learn([*(fresh - again)])
         out = [b"".join(map(known.__getitem__, words)) for words in texts]
         for w in fresh:
             if len(w) > MOST_LENGTH:

@@ -8,6 +8,7 @@ longer than a slice is a slice of its own, and hashing works through it in chunk
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def let_go() -> None:
+    """Returns what this worker has freed to the system: workers live on, and hold what a task has needed at most."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix64, in place where it can be."""
     x = x ^ (x >> np.uint64(30))
@@ -94,11 +105,11 @@ class Words:
         before[1:] = inside[:-1]
         edges = self.offsets[:-1][self.offsets[:-1] < len(raw)]
         before[edges] = False
-        self.starts = np.flatnonzero(inside & ~before)
+        self.starts = np.flatnonzero(inside & ~before).astype(np.int32)  # a column's buffer has less than 2 GB
         after = np.zeros_like(inside)
         after[:-1] = inside[1:]
         after[edges[edges > 0] - 1] = False
-        self.ends = np.flatnonzero(inside & ~after) + 1
+        self.ends = np.flatnonzero(inside & ~after).astype(np.int32) + np.int32(1)
         self.first = np.searchsorted(self.starts, self.offsets)
         self.counts = np.diff(self.first)
 
@@ -108,12 +119,12 @@ class Words:
     @property
     def rows(self) -> np.ndarray:
         """The row of each word."""
-        return np.repeat(np.arange(len(self.counts)), self.counts)
+        return np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
 
     def hashes(self) -> np.ndarray:
         out, n, at = np.empty(len(self.starts), np.uint64), len(self.starts), 0
         while at < n:
-            origin = self.starts[at]
+            origin = int(self.starts[at])
             to = max(at + 1, int(np.searchsorted(self.ends, origin + _CHUNK, "right")))
             s, e = self.starts[at:to] - origin, self.ends[at:to] - origin
             power, inverse = _power_tables(int(e[-1]) + 1)
