@@ -9,15 +9,18 @@ of equal bins estimates the Jaccard similarity with concentration bounds as for
 *Banding.* BANDS bands of ROWS bins, of the first bins; two sets of similarity 0.75 share no band with probability
 (1 - 0.75**4)**40 < 3e-7.
 
-*Verification.* Sets with equal digests are one class, represented by its least id. Within a band's bucket each set is
-compared with the bucket's least. A pair whose sketches agree too little is ruled out: a pair of similarity 0.75 has less
-than 0.58 of the banded bins, or less than 0.664 of all bins, equal with probability < 3e-7. The others are compared on
-the full sets, and linked if 100 * intersection >= 75 * union. Components of these links are contracted; in buckets that
+*Verification.* Sets with equal digests are one class, represented by its least id. While a chunk of documents is
+sketched its sets are at hand, so within the chunk each set is compared with the least of every bucket that it is in, at
+once and in full; what is linked is one local component, and leaves the chunk as one row (document, least of the
+component) each. Between chunks, a bucket's leasts meet, and each local component is compared with the one that it shares
+most buckets with. A pair whose sketches agree too little is ruled out: a pair of similarity 0.75 has
+less than 0.58 of the banded bins, or less than 0.664 of all bins, equal with probability < 3e-7. The others are compared
+on the full sets, and linked if 100 * intersection >= 75 * union. Components of these links are contracted; in buckets that
 still hold several components, pairs *between* components are ruled out or compared in the same way. So every candidate
 pair is compared, ruled out, or known to be connected, and of a group of copies only few pairs become rows.
 
-Buckets are combined in each batch before the exchange: a bucket that a third of all documents share is one entry for
-each batch. Components are found by least-label propagation with pointer jumping, in tables, never on the driver.
+Buckets are combined in each chunk before the exchange: a bucket that a third of all documents share is one entry for
+each chunk. Components are found by least-label propagation with pointer jumping, in tables, never on the driver.
 
 Defined results: null, empty and wordless texts have no set, are linked with nothing and kept; a text of fewer than five
 words is one shingle; rows with equal ids are one document as far as links go and are kept or dropped together; a row
@@ -34,17 +37,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pavilion.llm.blobs import BUCKET_HASHES, bucket_ranges, from_planes, planes
+from pavilion.llm.blobs import BUCKET_HASHES, from_planes, planes
 from pavilion.llm.tables import least_by, looked_up, written
-from pavilion.llm.words import SPACED, Words, mix, slices
+from pavilion.llm.words import SPACED, Words, let_go, mix, slices
 
 SHINGLE, BANDS, ROWS, COORDS, NUMERATOR = 5, 40, 4, 640, 75
 BANDED = BANDS * ROWS
 #: Rows of a block of a bucket, and the shares of equal banded bins and of all bins (the likely links first) that a pair needs.
 BLOCK, LEAST_BANDED, LEAST = 1024, 0.58, (0.75, 0.664)
-#: Rows whose sketches are made at once.
-SKETCHED = 2000
+#: Shingles of a side of a tile at most, or one set.
+TILE_SHINGLES = 1 << 20
+#: Rows whose sketches are made at once, and rows and shingles of a chunk.
+SKETCHED, CHUNK_ROWS, CHUNK_SHINGLES = 2000, 8192, 4 << 20
 _ROUND, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_SIGNED = "doc_id long, n long, cls binary, bands array<long>, fine binary, lead long, met boolean, bucket int, data binary"
+_NAMES = [field.split(" ")[0] for field in _SIGNED.split(", ")]
 
 
 def shingle_sets(column: pa.Array, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,13 +114,16 @@ def band_hashes(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return acc
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), cls (a 128-bit digest of the set), bands (64-bit hashes) and fine (a byte of each bin).
+def signatures(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows of two kinds, from one pass over the texts.
 
-    The last three are null if the set is empty or the document has no id.
+    Of each document: doc_id, n (size of the set), cls (a 128-bit digest of the set), bands (64-bit hashes), fine (a byte of
+    each bin), lead (the least id of its local component) and met (whether it shares a bucket with others of its chunk).
+    From cls on, these are null if the set is empty or the document has no id. Of each chunk and bucket: bucket and data.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             for part in slices(batch, rows=SKETCHED):
                 _, sets, offs = shingle_sets(part.column("text"))
@@ -121,82 +131,149 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sums = [np.r_[np.uint64(0), np.cumsum(mix(sets + np.uint64(k)))][offs] for k in (1, 2)]
                 cls = np.stack([mix(x[1:] - x[:-1] + sizes.astype(np.uint64)) for x in sums], axis=1)
                 sketch = sketches(sets, offs)
-                ids = part.column("doc_id").cast(pa.int64())
-                some = (sizes > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
-                bands, fine = band_hashes(sketch).view(np.int64), sketch.astype(np.uint8)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()), mask=pa.array(~some))
-                binary = lambda x: pa.array([r.tobytes() if ok else None for r, ok in zip(x, some, strict=True)], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), binary(cls), listed, binary(fine)], names=["doc_id", "n", "cls", "bands", "fine"])
+                held.append((part.column("doc_id").cast(pa.int64()), sizes, cls, band_hashes(sketch), sketch.astype(np.uint8), sets))
+                if sum(len(x[1]) for x in held) >= CHUNK_ROWS or sum(len(x[5]) for x in held) >= CHUNK_SHINGLES:
+                    yield from signed(held)
+                    held = []
+        if held:
+            yield from signed(held)
+        let_go()
+
+    def signed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids = pa.concat_arrays([x[0] for x in held])
+        sizes, cls, bands, fine, sets = (np.concatenate([x[k] for x in held]) for k in range(1, 6))
+        offs, some = np.r_[0, np.cumsum(sizes)], (sizes > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+        numbers = ids.fill_null(0).to_numpy().astype(np.int64)
+        rows = np.flatnonzero(some)
+        rows = rows[np.argsort(numbers[rows], kind="stable")]
+        _, own, of = np.unique(np.ascontiguousarray(cls[rows]).view("V16").ravel(), return_index=True, return_inverse=True)
+        rank = np.argsort(own)  # classes in the order of their least ids
+        own, place = rows[own[rank]], np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        h, first, pairs = _stars(bands[own])
+        roots = _linked(pairs, fine[own], [sets[offs[r] : offs[r + 1]] for r in own.tolist()])
+        least, met = numbers[own[roots]], np.zeros(len(own), bool)
+        met[pairs.ravel()] = True
+        lead, shared = np.zeros(len(some), np.int64), np.zeros(len(some), bool)
+        lead[rows], shared[rows] = least[place[of]], met[place[of]]
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()), mask=pa.array(~some))
+        binary = lambda x: pa.array([r.tobytes() if ok else None for r, ok in zip(x, some, strict=True)], pa.binary())
+        n = len(some)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), binary(cls), listed, binary(fine), pa.array(lead, mask=~some), pa.array(shared, mask=~some), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_NAMES)
+        # A bucket is one entry: hash, id of its least, by how much the least of that one's component is less, size.
+        d, c, s = numbers[own[first]].view(np.uint64), least[first].view(np.uint64), sizes[own[first]].astype(np.uint64)
+        to = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cuts = np.r_[np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), len(to)] if len(to) else np.zeros(1, int)
+        sent = [planes(h[x:z], 8) + planes(d[x:z], 8) + planes(d[x:z] - c[x:z], 8) + planes(s[x:z], 4) for x, z in zip(cuts, cuts[1:], strict=False)]
+        n = len(sent)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.bool_())], pa.array(to[cuts[:-1]], pa.int32()), pa.array(sent, pa.binary())], names=_NAMES)
+
+    return docs.select("doc_id", "text").mapInArrow(sign, _SIGNED)
+
+
+def _stars(bands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets in the order of their ids: the buckets in order, the least set of each, and the distinct pairs of other sets with it."""
+    hashes, rows = bands.ravel(), np.repeat(np.arange(len(bands)), bands.shape[1])
+    order = np.argsort(hashes, kind="stable")
+    h, d = hashes[order], rows[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, int)
+    lead = np.repeat(d[first], np.diff(np.r_[first, len(h)]))
+    pair = lead != d
+    keys = np.unique(d[pair] * len(bands) + lead[pair])
+    return h[first], d[first], np.stack([keys // max(1, len(bands)), keys % max(1, len(bands))], axis=1)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, cls binary, bands array<long>, fine binary")
 
+def _linked(pairs: np.ndarray, fine: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The least set of each set's component by links among the pairs, the likeliest ones compared first."""
+    sizes, parent = np.array([len(s) for s in sets], np.int64), list(range(len(sets)))
+    pairs = pairs[_able(sizes[pairs[:, 0]], sizes[pairs[:, 1]])]
+    share = np.concatenate([(fine[p[:, 0], :BANDED] == fine[p[:, 1], :BANDED]).mean(axis=1) for p in np.split(pairs, range(1 << 14, len(pairs), 1 << 14))])
+    order = np.argsort(-share, kind="stable")
+    for x, y in pairs[order[share[order] >= LEAST_BANDED]].tolist():
+        a, b = _root(parent, x), _root(parent, y)
+        if a != b and _similar(sets[x], sets[y]):
+            parent[max(a, b)] = min(a, b)
+    return np.array([_root(parent, x) for x in range(len(sets))], np.int64)
 
-def _star(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
-    """Of entries (hash, id, size): the least id of each hash, and the pairs of other ids with it if sizes allow a link."""
-    order = np.lexsort((ids, hashes))
-    h, d, s = hashes[order], ids[order], sizes[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, int)
-    counts = np.diff(np.r_[first, len(h)])
-    lead, size = np.repeat(d[first], counts), np.repeat(s[first], counts)
-    pair = lead != d
-    pairs = np.unique(np.stack([d[pair], lead[pair], s[pair], size[pair]], axis=1), axis=0) if pair.any() else np.empty((0, 4), np.int64)
-    return h[first], d[first], s[first], pairs
 
+def _root(parent: list[int] | dict[int, int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
 
-def _able(pairs: np.ndarray) -> np.ndarray:
-    """Sets whose sizes differ too much can't be linked."""
-    return pairs[100 * np.minimum(pairs[:, 2], pairs[:, 3]) >= NUMERATOR * np.maximum(pairs[:, 2], pairs[:, 3])]
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets of hashes are linked."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # two runs: merged
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return same > 0 and 100 * same >= NUMERATOR * (len(both) - same)
 
-def _agree(fine: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether rows x and y of the sketches agree in enough of the banded bins."""
-    out = np.empty(len(x), bool)
-    for k in range(0, len(x), 1 << 14):
-        out[k : k + (1 << 14)] = (fine[x[k : k + (1 << 14)]] == fine[y[k : k + (1 << 14)]]).mean(axis=1) >= LEAST_BANDED
-    return out
 
+def _able(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sets whose sizes differ too much can't be linked."""
+    return 100 * np.minimum(x, y) >= NUMERATOR * np.maximum(x, y)
 
-def candidates(signed: DataFrame, buckets: int) -> DataFrame:
-    """Each set with the least of each bucket that it is in, in its batch or among the batches' leasts: rows (a, b, sure).
 
-    Pairs of a batch are ``sure`` to agree in enough bins, others aren't judged yet. A set that is in any bucket with others
-    is there as (a, null) at least, also if none of its buckets' leasts is of a size that it can be linked with. Of equal sets in a batch the least id goes on; equal sets of several batches may be a pair.
-    """
+def meetings(signed: DataFrame, parts: int) -> DataFrame:
+    """Of chunks whose buckets meet: a row (a, null) of each set that is in a bucket with others, and rows (a, b).
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "n"))
-            cls = np.frombuffer(b"".join(batch.column("cls").to_pylist()), "V16")
-            order = np.argsort(ids, kind="stable")
-            own = np.sort(order[np.unique(cls[order], return_index=True)[1]]) if len(ids) else order
-            own = own[np.unique(ids[own], return_index=True)[1]]  # by id
-            bands = batch.column("bands").flatten().to_numpy().view(np.uint64).reshape(len(ids), BANDS)[own]
-            fine = np.frombuffer(b"".join(batch.column("fine").to_pylist()), np.uint8).reshape(len(ids), -1)[own]
-            h, d, s, pairs = _star(bands.ravel(), np.repeat(ids[own], BANDS), np.repeat(sizes[own], BANDS))
-            cuts = bucket_ranges(h, 64, buckets)
-            sent = [(b, planes(h[x:z], 8) + planes(d[x:z].view(np.uint64), 8) + planes(s[x:z].view(np.uint64), 4)) for b, (x, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > x]
-            met = np.unique(pairs[:, :2])
-            pairs = _able(pairs)
-            sure = pairs[_agree(fine[:, :BANDED], np.searchsorted(ids[own], pairs[:, 0]), np.searchsorted(ids[own], pairs[:, 1]))]
-            n, names = len(sent), ["bucket", "data", "a", "b"]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sent], pa.int32()), pa.array([x for _, x in sent], pa.binary()), *[pa.nulls(n, pa.int64())] * 2], names=names)
-            n = len(sure) + len(met)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(np.r_[sure[:, 0], met], pa.int64()), pa.concat_arrays([pa.array(sure[:, 1], pa.int64()), pa.nulls(len(met), pa.int64())])], names=names)
+    Among the leasts that chunks have sent for a bucket, each is paired with the least of all. Of all pairs that join a local
+    component to others, the one to the component that it shares most buckets with goes on: it is the likeliest link, and
+    what it leaves apart is compared between components later.
+    """
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts: list[list[np.ndarray]] = [[], [], []]
-        for data in table.column("data").to_pylist():
-            n = len(data) // 20
-            for to, x in zip(parts, (from_planes(data[: 8 * n], 8), from_planes(data[8 * n : 16 * n], 8).view(np.int64), from_planes(data[16 * n :], 4).view(np.int64)), strict=True):
-                to.append(x)
-        *_, pairs = _star(*map(np.concatenate, parts))
-        able = _able(pairs)
-        met = np.setdiff1d(pairs[:, :2], able[:, :2])
-        return pa.table([pa.array(np.r_[able[:, 0], met], pa.int64()), pa.concat_arrays([pa.array(able[:, 1], pa.int64()), pa.nulls(len(met), pa.int64())])], names=["a", "b"])
-
-    sent = written(signed.select("doc_id", "n", "cls", "bands", "fine").mapInArrow(local, "bucket int, data binary, a long, b long"), "buckets")
-    far = sent.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(meet, "a long, b long")
-    return sent.where("bucket is null").select("a", "b", F.lit(True).alias("sure")).unionByName(far.withColumn("sure", F.lit(False)))
+        h, d, c, s = _columns(table, (8, 8, 8, 4))
+        d, c, s = d.view(np.int64), (d - c).view(np.int64), s.astype(np.int64)
+        order = np.lexsort((d, h))
+        h, d, c, s = h[order], d[order], c[order], s[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        lead = np.repeat(first, np.diff(np.r_[first, len(h)]))
+        pair = np.flatnonzero(lead != np.arange(len(h)))
+        lead = lead[pair]
+        met = np.unique(np.r_[d[pair], d[lead]])
+        able = _able(s[pair], s[lead]) & (d[pair] != d[lead])
+        pair, lead = pair[able], lead[able]
+        every, counts = np.unique(np.stack([c[pair], c[lead], d[pair], d[lead]], axis=1), axis=0, return_counts=True)
+        rows = [(0, *x) for x in _dealt(met, [met], (8,), parts)] + [(1, *x) for x in _dealt(every[:, 0], [*every.T, counts], (8, 8, 8, 8, 4), parts)]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["kind", "part", "data"])
+
+    def choose(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        kinds = table.column("kind").to_numpy()
+        met = np.unique(_columns(table.filter(pa.array(kinds == 0)), (8,))[0].view(np.int64))
+        *four, w = (x.view(np.int64) for x in _columns(table.filter(pa.array(kinds == 1)), (8, 8, 8, 8, 4)))
+        every, at = np.unique(np.stack(four, axis=1), axis=0, return_inverse=True)
+        w = np.bincount(at.ravel(), w, len(every)).astype(np.int64)
+        ends = np.flatnonzero(np.r_[(every[1:, :2] != every[:-1, :2]).any(axis=1), True]) if len(every) else np.empty(0, int)
+        of = np.searchsorted(ends, np.arange(len(every)))  # pairs of the same two components
+        order = np.lexsort((w, np.bincount(of, w, len(ends))[of] if len(every) else w, every[:, 0]))
+        best = every[order][np.flatnonzero(np.r_[every[order[1:], 0] != every[order[:-1], 0], True])] if len(every) else every
+        return pa.table([pa.array(np.r_[best[:, 2], met], pa.int64()), pa.concat_arrays([pa.array(best[:, 3], pa.int64()), pa.nulls(len(met), pa.int64())])], names=["a", "b"])
+
+    met = signed.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(meet, "kind int, part int, data binary")
+    return met.groupBy("part").applyInArrow(choose, "a long, b long")
+
+
+def _columns(table: pa.Table, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """The columns of rows that :func:`_dealt` or a chunk has packed, one after another with so many bytes a value."""
+    out: list[list[np.ndarray]] = [[np.empty(0, np.uint64)] for _ in widths]
+    for data in table.column("data").to_pylist():
+        n, at = len(data) // sum(widths), 0
+        for to, width in zip(out, widths, strict=True):
+            to.append(from_planes(data[at * n : (at + width) * n], width))
+            at += width
+    return [np.concatenate(x) for x in out]
+
+
+def _dealt(key: np.ndarray, columns: list[np.ndarray], widths: tuple[int, ...], parts: int) -> Iterator[tuple[int, bytes]]:
+    """The columns packed for each part that has rows, dealt by the hash of ``key``."""
+    to = ((mix(key.astype(np.uint64) + np.uint64(1)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+        if len(rows):
+            yield int(to[rows[0]]), b"".join(planes(x[rows].astype(np.uint64), width) for x, width in zip(columns, widths, strict=True))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -252,11 +329,12 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return two.select("a", "b", "fa", "fb").mapInArrow(keep, "a long, b long").distinct()
 
 
-def between(nodes: DataFrame, labels: DataFrame, tested: DataFrame, least: float) -> DataFrame:
-    """Untested pairs of sets that share a bucket but no component, and agree in enough of all bins.
+def between(nodes: DataFrame, labels: DataFrame, least: float, below: float) -> DataFrame:
+    """Pairs of sets that share a bucket but no component and agree in ``least`` of all bins or more, but not in ``below``.
 
     A bucket of many rows is dealt in blocks, a task for each pair of blocks; a pair that shares several buckets comes from
-    the first one alone, by the bands' own hashes: bands whose bins only agree in ``fine`` needn't share a bucket.
+    the first one alone, by the bands' own hashes: bands whose bins only agree in ``fine`` needn't share a bucket. Pairs are
+    packed in tiles whose sets are of bounded size together: a row (tile, null, pairs), and a row (tile, v, null) for each set.
     """
     near = nodes.join(labels, nodes.rep == labels.v).select("rep", "n", "comp", F.posexplode("bands").alias("nth", "band"))
     mixed = near.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
@@ -264,6 +342,7 @@ def between(nodes: DataFrame, labels: DataFrame, tested: DataFrame, least: float
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = left.join(nodes.select("rep", "fine", "bands"), "rep").withColumn("block", block).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("_o"))
     dealt = dealt.select("band", "nth", "rep", "n", "comp", "fine", "bands", "block", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"))
+    most = TILE_SHINGLES
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, sizes, comps, blocks = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "comp", "block"))
@@ -272,53 +351,108 @@ def between(nodes: DataFrame, labels: DataFrame, tested: DataFrame, least: float
         values, counts = np.unique(comps, return_counts=True)
         outside = comps != values[counts.argmax()]  # a pair between components has an end here
         rank = np.where(outside, np.arange(len(ids)), len(ids))
-        found = []
+        found = [np.empty((0, 2), np.int64)]
         for x in np.flatnonzero(outside).tolist():
-            y = np.flatnonzero((comps != comps[x]) & (rank > x) & (one | (blocks != blocks[x])) & (100 * np.minimum(sizes, sizes[x]) >= NUMERATOR * np.maximum(sizes, sizes[x])))
-            y = y[(fine[y] == fine[x]).mean(axis=1) >= least] if len(y) else y
+            y = np.flatnonzero((comps != comps[x]) & (rank > x) & (one | (blocks != blocks[x])) & _able(sizes, sizes[x]))
+            share = (fine[y] == fine[x]).mean(axis=1) if len(y) else np.empty(0)
+            y = y[(share >= least) & (share < below)]
             y = y[(bands[y] == bands[x]).argmax(axis=1) == nth] if len(y) else y
-            found.append(np.stack([np.maximum(ids[y], ids[x]), np.minimum(ids[y], ids[x])], axis=1))
-        found = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pa.table([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["a", "b"])
-
-    pairs = dealt.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
-    return pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            found.append(np.stack([np.full(len(y), x), y], axis=1))
+        found = np.concatenate(found)
+        used = np.unique(found)
+        tile = np.zeros(len(ids), np.int64)
+        tile[used] = np.cumsum(sizes[used]) // most
+        of = tile[found[:, 0]] * len(ids) + tile[found[:, 1]]
+        order = np.argsort(of, kind="stable")
+        tiles, sets, packs = [], [], []
+        for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+            if len(rows):
+                name = _named(*[k.as_py() for k in key], int(of[rows[0]]))
+                own = ids[np.unique(found[rows])]
+                tiles += [name] * (len(own) + 1)
+                sets += [None, *own.tolist()]
+                packs += [planes(ids[found[rows, 0]].view(np.uint64), 8) + planes(ids[found[rows, 1]].view(np.uint64), 8), *[None] * len(own)]
+        return pa.table([pa.array(tiles, pa.int64()), pa.array(sets, pa.int64()), pa.array(packs, pa.binary())], names=["tile", "v", "data"])
+
+    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "tile long, v long, data binary")
+
+
+def _named(*parts: int) -> int:
+    """A 64-bit name."""
+    out = np.zeros(1, np.uint64)
+    for part in parts:
+        out = mix(out ^ np.uint64(part & _MASK))
+    return int(out.view(np.int64)[0])
+
+
+def linked_across(tiles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among the tiles' pairs, found on full sets; a pair that a tile's other links connect isn't compared."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        x, y = (c.view(np.int64).tolist() for c in _columns(table.filter(pc.is_valid(table.column("data"))), (8, 8)))
+        sets: dict[int, list[np.ndarray]] = {}
+        for batch in table.filter(pc.is_valid(table.column("v"))).select(["v", "text"]).combine_chunks().to_batches():
+            for part in slices(batch):
+                _, own, offs = shingle_sets(part.column("text"))
+                for k, v in enumerate(part.column("v").to_pylist()):
+                    sets.setdefault(v, []).append(own[offs[k] : offs[k + 1]])
+        parent, found = {v: v for v in sets}, []
+        for a, b in zip(x, y, strict=True):
+            r, s = _root(parent, a), _root(parent, b)
+            if r != s and any(_similar(p, q) for p in sets[a] for q in sets[b]):
+                parent[max(r, s)] = min(r, s)
+                found.append((max(a, b), min(a, b)))
+        let_go()
+        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    sent = tiles.where("v is not null").join(texts.select(F.col("doc_id").alias("v"), "text"), "v").select("tile", "v", "data", "text")
+    packs = tiles.where("v is null").select("tile", "v", "data", F.lit(None).cast("string").alias("text"))
+    return sent.unionByName(packs).groupBy("tile").applyInArrow(judge, "a long, b long").distinct()
 
 
 def clustered(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id and kept."""
-    signed = written(signatures(docs), "signatures")
+    buckets = max(1, docs.count() * BANDS // (BUCKET_HASHES // 2))
+    signed = written(signatures(docs, buckets), "signatures")
     named = signed.where("cls is not null")
     reps = least_by(named, ["cls"], "doc_id", "doc_id").select("cls", F.col("doc_id").alias("rep"))
-    members = written(looked_up(named.select("doc_id", "n", "cls"), reps, "cls", "doc_id").select("doc_id", "n", "rep"), "members")
-    buckets = max(1, members.count() * BANDS // (BUCKET_HASHES // 4))
-    found = candidates(named, buckets)
+    members = written(looked_up(named.select("doc_id", "n", "cls", "lead", "met"), reps, "cls", "doc_id").select("doc_id", "n", "rep", "lead", "met"), "members")
+    found = written(meetings(signed, buckets), "meetings")
     # Pairs of documents become pairs of their classes' representatives.
     of = members.select("doc_id", "rep").distinct()
-    found = found.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
-    found = looked_up(found, of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b", "a", "left").where("rb is null or ra <> rb")
-    pairs = written(found.groupBy(F.greatest("ra", "rb").alias("a"), F.when(F.col("rb").isNotNull(), F.least("ra", "rb")).alias("b")).agg(F.max("sure").alias("sure")), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).where("rep is not null").distinct()
+    joined = found.where("b is not null").join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
+    joined = looked_up(joined, of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b", "a")
+    pairs = written(_pairs(joined.select("ra", "rb")), "pairs")
+    local = looked_up(members.where("lead <> doc_id").select("lead", "rep"), of.select(F.col("doc_id").alias("lead"), F.col("rep").alias("rb")), "lead", "rep")
+    several = of.groupBy("doc_id").agg(F.min("rep").alias("rb"), F.count("*").alias("m")).where("m > 1")
+    known = _pairs(local.select(F.col("rep").alias("ra"), "rb").unionByName(looked_up(of, several, "doc_id", "rep").select(F.col("rep").alias("ra"), "rb")))
+    away = found.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct()
     # Merge joins whatever the sizes: what a run moves then follows the input, and no side has to fit a broadcast.
+    ids = written(members.where("met").select("rep").unionByName(of.join(away.hint("merge"), "doc_id", "left_semi").select("rep")).distinct(), "touched")
     nodes = written(named.select(F.col("doc_id").alias("rep"), "n", "bands", "fine").join(ids.hint("merge"), "rep", "left_semi"), "nodes")
     texts = written(docs.where("text is not null").select("doc_id", "text").join(ids.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
-    pairs = pairs.where("b is not null")
-    close = written(pairs.where("sure").select("a", "b").unionByName(likely(pairs.where("not sure").select("a", "b"), nodes)), "likely")
-    links = written(verified(close, texts), "links")
+    close = written(likely(pairs, nodes), "likely")
+    links = written(known.unionByName(verified(close, texts)).distinct(), "links")
     touched = ids.select(F.col("rep").alias("v"))
     labels = _labelled(links, touched)
+    below = 2.0
     for least in LEAST:
-        more = written(between(nodes, labels, close, least), "between")
-        extra = written(verified(more, texts), "links")
+        extra = written(linked_across(written(between(nodes, labels, least, below), "tiles"), texts), "links")
         if not extra.isEmpty():
-            links, close = links.unionByName(extra), close.unionByName(more)
+            links = links.unionByName(extra)
             labels = _labelled(links, touched)
+        below = least
     comps = labels.select(F.col("v").alias("rep"), "comp")
     done = looked_up(members, comps, "rep", "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
-    rest = signed.where("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rest = signed.where("cls is null and bucket is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return done.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _pairs(found: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different representatives ra and rb, a the greater one."""
+    return found.where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
+
+
 def _labelled(links: DataFrame, touched: DataFrame) -> DataFrame:
     """Components of the links; a touched vertex without a link is its own."""
     found = components(links)
