@@ -11,11 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes of a group of documents, and hashes of a bucket, on average.
-GROUP_BYTES, BUCKET_HASHES = 8 << 20, 2 << 20
+from pavilion.llm.tables import written
+from pavilion.llm.words import buffers, slices
+
+#: Text bytes and rows of a group of documents at most (a longer document is a group of its own), text bytes of one of its
+#: rows here (objects of half a megabyte and more are a burden to a JVM's heap), and hashes of a bucket on average.
+GROUP_BYTES, GROUP_ROWS, PIECE_BYTES, BUCKET_HASHES = 4 << 20, 1 << 14, 1 << 19, 1 << 20
 _WRITE = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
 
@@ -36,21 +41,27 @@ def unpacked(blobs: list[bytes]) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs])
 
 
-def grouped(docs: DataFrame, groups: int, partitions: int) -> DataFrame:
-    """Rows (grp, blob): all columns of the documents, in groups by the hash of doc_id, co-located by ``grp``."""
+def steady(docs: DataFrame) -> DataFrame:
+    """The documents in an order that a task run again finds again: as files hold them, if need be in files made here."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return docs if "Scan " in plan and "Exchange" not in plan else written(docs, "rows")
+
+
+def grouped(docs: DataFrame, partitions: int) -> DataFrame:
+    """Rows (grp, blob), some for each group: all columns of the documents, in groups of rows that follow each other, co-located by ``grp``."""
+    most, rows, piece = GROUP_BYTES, GROUP_ROWS, PIECE_BYTES
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, n, grp = 0, 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            of = batch.column("_grp").to_numpy(zero_copy_only=False)
-            order = np.argsort(of, kind="stable")
-            cuts = np.flatnonzero(np.diff(of[order])) + 1
-            own = batch.drop_columns(["_grp"])
-            for rows in np.split(order, cuts):
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array([of[rows[0]]], pa.int32()), pa.array([packed_table(own.take(pa.array(rows)))], pa.binary())], names=["grp", "blob"])
-
-    keyed = docs.withColumn("_grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
-    return keyed.mapInArrow(pack, "grp int, blob binary").repartition(partitions, "grp")
+            for part in slices(batch, most=min(piece, most), rows=rows):
+                own = len(buffers(part.column("text"))[0])
+                if n and (size + own > most or n + part.num_rows > rows):
+                    size, n, grp = 0, 0, grp + 1
+                size, n = size + own, n + part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), pa.array([packed_table(part)], pa.binary())], names=["grp", "blob"])
+
+    return steady(docs).mapInArrow(pack, "grp long, blob binary").repartition(partitions, "grp")
 
 
 def planes(values: np.ndarray, width: int) -> bytes:

@@ -10,8 +10,8 @@ Every word that lies in a window whose words also begin in a document of a small
    that holds them; again the answer is one bit. Runs of such windows are the maximal exact repeats.
 3. *Removal.* Covered words go; the others stay in order.
 
-Documents travel once, in compressed groups of bounded size (:mod:`pavilion.llm.blobs`), and stay where they are for all
-three steps. A group sends a hash once however often it occurs there, so a passage that a third of all documents share
+Documents travel once, in compressed groups of bounded size (:mod:`pavilion.llm.blobs`: rows that follow each other,
+whatever their ids), and stay where they are for all three steps. A group sends a hash once however often it occurs there, so a passage that a third of all documents share
 is one entry for each group. Equal 46-bit hashes of different runs only cost an extra comparison in step 2; for 96 bits
 at 10**13 windows the chance of any wrong match is below 1 in 1000.
 
@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pavilion.llm.blobs import BUCKET_HASHES, GROUP_BYTES, bucket_ranges, from_planes, grouped, planes, sized, unpacked
-from pavilion.llm.words import SPACED, Words, covered, slices
+from pavilion.llm.words import SPACED, Words, covered, let_go, slices
 
 WINDOW = 13
 _BITS = 46
-_ROW = "bucket int, grp int, kind int, data binary"
+_ROW = "bucket int, grp long, kind int, data binary"
+#: Groups of a task on average.
+TASK_GROUPS = 8
 
 
 class _Group:
@@ -59,7 +61,7 @@ class _Group:
         """Of each part: first row, words, hashes of its runs of ``length`` words, their rows, and which count."""
         for (at, words), hashes in zip(self.parts, self.hashes, strict=True):
             runs = words.windows(hashes, length, lane)
-            rows = words.rows[: len(runs)] + at
+            rows = words.rows[: len(runs)] + np.int32(at)
             yield at, words, runs, rows, words.whole(length) & (rows < self.named)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +131,18 @@ def _marked(values: np.ndarray, bits: int, buckets: int, answers: dict[int, byte
 
 def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], names=["bucket", "grp", "kind", "data"])
+    return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], names=["bucket", "grp", "kind", "data"])
+
+
+def _freed(judge):
+    """The judge's answers, once what it has held is gone."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        out = judge(table)
+        let_go()
+        return out
+
+    return run
 
 
 def _judge_anchors(table: pa.Table) -> pa.Table:
@@ -141,6 +154,7 @@ def _judge_anchors(table: pa.Table) -> pa.Table:
     key, flags = every[order] >> np.uint64(2), every[order] & np.uint64(3)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     counts = np.diff(np.r_[first, len(key)])
+    del key
     block = np.bitwise_or.reduceat(flags, first)
     good = ((block & np.uint64(1)) > 0) & ((counts > 1) | ((block & np.uint64(2)) > 0))
     back = np.empty(len(every), bool)
@@ -172,17 +186,18 @@ def _judge_windows(table: pa.Table) -> pa.Table:
 
 def deduplicated(docs: DataFrame, emit, schema: str, window: int = WINDOW) -> DataFrame:
     """Calls ``emit(table, parts, gone)`` for each group: its rows by id, its words by part, a flag for each word to go."""
-    rows, size = sized(docs)
+    _, size = sized(docs)
     groups = max(1, -(-size // GROUP_BYTES))
     buckets = max(1, size // 6 // BUCKET_HASHES)
-    partitions = max(1, min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    corpus = grouped(docs, groups, partitions)
+    partitions = -(-groups // TASK_GROUPS)
+    corpus = grouped(docs, partitions)
 
     def probe(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         values, flags = _Group(table.column("blob").to_pylist(), window).anchors()
         cuts = bucket_ranges(values, _BITS, buckets)
         sent = (values << np.uint64(2)) | flags.astype(np.uint64)
-        return _rows([(b, key[0].as_py(), 0, planes(sent[cuts[b] : cuts[b + 1]], 6)) for b in range(buckets) if cuts[b + 1] > cuts[b]])
+        let_go()
+        return _rows([(b, key[0].as_py(), 0, planes(sent[cuts[b] : cuts[b + 1]], 6)) for b in np.flatnonzero(np.diff(cuts)).tolist()])
 
     def shared(group: _Group, answers: pa.Table) -> np.ndarray:
         values, _ = group.anchors()
@@ -195,10 +210,11 @@ def deduplicated(docs: DataFrame, emit, schema: str, window: int = WINDOW) -> Da
         _, docs_of, one, two, first = group.distinct(shared(group, right))
         one, two, ids = one[first], two[first], group.ids[docs_of[first]]
         cuts = bucket_ranges(one, 64, buckets)
-        for b in range(buckets):
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
             a, z = cuts[b], cuts[b + 1]
-            if z > a:
-                out.append((b, key[0].as_py(), 1, planes(one[a:z], 8) + planes(two[a:z], 4) + planes(ids[a:z].view(np.uint64), 8)))
+            out.append((b, key[0].as_py(), 1, planes(one[a:z], 8) + planes(two[a:z], 4) + planes(ids[a:z].view(np.uint64), 8)))
+        del group
+        let_go()
         return _rows(out)
 
     def remove(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
@@ -214,12 +230,14 @@ def deduplicated(docs: DataFrame, emit, schema: str, window: int = WINDOW) -> Da
             bad = np.repeat(elsewhere, counts) | (ids > np.repeat(ids[first], counts))
             gone = covered(len(gone), places[bad], window)
         cuts = np.cumsum([0, *(len(words) for _, words in group.parts)])
+        group.hashes = []
+        let_go()
         return emit(group.table, [words for _, words in group.parts], [gone[a:z] for a, z in zip(cuts, cuts[1:], strict=False)])
 
     anchors = corpus.groupBy("grp").applyInArrow(probe, _ROW).repartition(max(1, min(buckets, 4 * partitions)), "bucket")
-    first = anchors.groupBy("bucket").applyInArrow(lambda key, t: _judge_anchors(t), _ROW)
+    first = anchors.groupBy("bucket").applyInArrow(_freed(_judge_anchors), _ROW)
     windows = corpus.groupBy("grp").cogroup(first.groupBy("grp")).applyInArrow(extend, _ROW)
-    second = windows.groupBy("bucket").applyInArrow(lambda key, t: _judge_windows(t), _ROW)
+    second = windows.groupBy("bucket").applyInArrow(_freed(_judge_windows), _ROW)
     return corpus.groupBy("grp").cogroup(first.unionByName(second).groupBy("grp")).applyInArrow(remove, schema)
 
 
