@@ -6,8 +6,10 @@ vectorised comparison finds all separators. What a block can't know is where the
 began, and how many documents ended before; both follow from a prefix scan over one summary row a block (the last
 separator so far, the separators so far), which stitches the blocks. Only separators' places are shuffled, never tokens.
 
-Files are read whole by Spark's binary reader, so a file may have at most 2 GB; :func:`write_token_files` writes at
-most FILE_ROWS documents a file. Reading and writing go through Spark, so the folder may be in any store it knows.
+The separator is the greatest number of two bytes, which no token of the vocabulary has: a text that spells a special token
+out is still one document. Files are read whole, each in one task, by Spark's binary reader (2 GB at most);
+:func:`write_token_files` ends a file after RUNS runs of RUN_BYTES bytes, so that it has 8 MB (a file is a row, of which a JVM makes several copies) or, where documents are longer
+than a run, RUNS of those. Reading and writing go through Spark, so the folder may be in any store it knows.
 
 Defined results: tokens after the last separator of a file are a document of their own with ``closed`` false; two
 separators in a row enclose a document of no tokens; an empty file has no documents; a trailing odd byte is an error; null and
@@ -28,22 +30,32 @@ from pavilion.llm.tables import new_path
 from pavilion.llm.tokens import encoder
 from pavilion.llm.words import let_go, slices
 
-SEPARATOR, BLOCK, FILE_ROWS = 49407, 1 << 19, 50_000
+SEPARATOR, BLOCK, RUN_BYTES, RUNS = 0xFFFF, 1 << 19, 1 << 20, 8
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, separator: int = SEPARATOR) -> None:
-    """Each partition's documents as token files. The separator is written as Spark's line separator, as raw bytes."""
+    """Each partition's documents as token files, runs of documents at a time. Spark's line separator ends each run, as raw bytes."""
+    end, most = separator.to_bytes(2, "little"), RUN_BYTES
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer or default_tokenizer(), 2)
+        words, held, size = encoder(tokenizer or default_tokenizer(), 2), [], 0
+        if separator < len(words.ends):
+            raise ValueError(f"{separator} is a token's id")
+        run = lambda docs: pa.RecordBatch.from_arrays([pa.array([end.join(docs)], pa.binary())], names=["ids"])
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(words.rows(part.column("text")), pa.binary())], names=["ids"])
+                for ids in words.rows(part.column("text")):
+                    if held and size + len(ids) > most:
+                        yield run(held)
+                        held, size = [], 0
+                    held.append(ids)
+                    size += len(ids) + 2
+        if held:
+            yield run(held)
         let_go()
 
-    end = separator.to_bytes(2, "little").decode("latin-1")
-    ids = docs.select("text").mapInArrow(encode, "ids binary").select(F.coalesce("ids", F.lit(b"")).cast("string").alias("ids"))
-    ids.write.option("encoding", "ISO-8859-1").option("lineSep", end).option("maxRecordsPerFile", FILE_ROWS).text(folder)
+    ids = docs.select("text").mapInArrow(encode, "ids binary").select(F.col("ids").cast("string").alias("ids"))
+    ids.write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("maxRecordsPerFile", RUNS).text(folder)
 
 
 def separators(files: DataFrame, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
