@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pavilion.llm.tables import written
+from pavilion.llm.tables import unused, written
 from pavilion.llm.words import ALNUM, Words, covered, slices
 
 N_WORDS = 10
@@ -92,11 +92,11 @@ def blocks(benchmark: DataFrame, n: int) -> Iterator[NGrams]:
         yield NGrams(held, n)
 
 
-def flagged(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> DataFrame:
-    """``docs`` with ``_dc_words`` (words), ``_dc_mask`` (a byte per word, 1 if hit; null if none is) and ``_dc_items``."""
-    added = T.StructType([T.StructField("_dc_words", T.LongType()), T.StructField("_dc_mask", T.BinaryType()), T.StructField("_dc_items", T.ArrayType(T.StringType()))])
-    schema = T.StructType(docs.schema.fields + added.fields)
-    out = docs.select("*", F.lit(None).cast("long").alias("_dc_words"), F.lit(None).cast("binary").alias("_dc_mask"), F.lit(None).cast("array<string>").alias("_dc_items"))
+def flagged(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, prefix: str = "_dc_") -> DataFrame:
+    """``docs`` with three columns that begin with ``prefix``: words, mask (a byte per word, 1 if hit; null if none is) and items."""
+    kinds = (("words", T.LongType()), ("mask", T.BinaryType()), ("items", T.ArrayType(T.StringType())))
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(prefix + c, kind) for c, kind in kinds]])
+    out = docs.select("*", *[F.lit(None).cast(kind).alias(prefix + c) for c, kind in kinds])
 
     def passed(rows: DataFrame, grams: NGrams) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(grams)
@@ -104,30 +104,34 @@ def flagged(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> DataFram
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch):
-                    yield _scanned(part, shared.value)
+                    yield _scanned(part, shared.value, prefix)
 
-        return rows.mapInArrow(scan, schema)
+        found = rows.mapInArrow(scan, schema)
+        if rows is out:
+            return found
+        found = written(found, "decontam")
+        shared.unpersist()
+        return found
 
-    some = False
+    before = None
     for grams in blocks(benchmark, n):
-        out, some = passed(written(out, "decontam") if some else out, grams), True
+        out, before = (passed(written(out, "decontam"), grams) if before else passed(out, grams)), True
         del grams  # the driver holds one block at a time
-    return out if some else passed(out, NGrams([], n))
+    return out if before else passed(out, NGrams([], n))
 
 
-def _scanned(part: pa.RecordBatch, grams: NGrams) -> pa.RecordBatch:
+def _scanned(part: pa.RecordBatch, grams: NGrams, prefix: str) -> pa.RecordBatch:
     words = Words(part.column("text"), ALNUM, True)
     hit, by_row = grams.scan(words, words.hashes())
-    masks, items = part.column("_dc_mask").to_pylist(), part.column("_dc_items").to_pylist()
+    masks, items = part.column(prefix + "mask").to_pylist(), part.column(prefix + "items").to_pylist()
     for r in np.unique(words.rows[hit]).tolist():
         mask = hit[words.first[r] : words.first[r + 1]]
         if masks[r] is not None:
             mask = mask | np.frombuffer(masks[r], np.uint8).astype(bool)
         masks[r] = mask.astype(np.uint8).tobytes()
         items[r] = sorted({*(items[r] or ()), *by_row.get(r, ())})
-    new = [pa.array(words.counts, pa.int64()), pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-    names = part.schema.names
-    return pa.RecordBatch.from_arrays([new[("_dc_words", "_dc_mask", "_dc_items").index(c)] if c.startswith("_dc_") else part.column(c) for c in names], names=names)
+    new = {prefix + "words": pa.array(words.counts, pa.int64()), prefix + "mask": pa.array(masks, pa.binary()), prefix + "items": pa.array(items, pa.list_(pa.string()))}
+    return pa.RecordBatch.from_arrays([new.get(c, own) for c, own in zip(part.schema.names, part.columns, strict=True)], names=part.schema.names)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> DataFrame:
@@ -146,11 +150,12 @@ def digest(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> DataFrame
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> DataFrame:
     """``docs`` with hit words cut out of their texts; all other documents are as they were."""
+    prefix = unused("_dc_", docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                masks = part.column("_dc_mask").to_pylist()
+                masks = part.column(prefix + "mask").to_pylist()
                 at = [r for r, m in enumerate(masks) if m is not None]
                 texts = part.column("text")
                 if at:
@@ -162,12 +167,13 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> Dat
                     for r in at:
                         texts[r] = new[r].decode("utf-8", "replace")
                     texts = pa.array(texts, pa.string())
-                names = [c for c in part.schema.names if not c.startswith("_dc_")]
+                names = [c for c in part.schema.names if not c.startswith(prefix)]
                 yield pa.RecordBatch.from_arrays([texts if c == "text" else part.column(c) for c in names], names=names)
 
-    return flagged(docs, benchmark, n).mapInArrow(cut, docs.schema)
+    return flagged(docs, benchmark, n, prefix).mapInArrow(cut, docs.schema)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> DataFrame:
     """``docs`` without those that hold any window."""
-    return flagged(docs, benchmark, n).where(F.col("_dc_mask").isNull()).drop("_dc_words", "_dc_mask", "_dc_items")
+    prefix = unused("_dc_", docs.columns)
+    return flagged(docs, benchmark, n, prefix).where(F.col(prefix + "mask").isNull()).drop(*[prefix + c for c in ("words", "mask", "items")])

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pavilion.llm.tables import written
@@ -44,12 +44,13 @@ class Cell:
     rows: int = 0
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the sort key: two numbers below 2**63 and 2**64 in signed order."""
+def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32 and the sort key: two numbers below 2**63 and 2**64 in signed order; if ``whole``, the row, too."""
     text = F.col("text")
     size = F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long")) + F.lit(OVERHEAD).cast("long")
     crc = F.coalesce(F.crc32(text.cast("binary")), F.lit(0).cast("long"))
-    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.xxhash64(text).alias("k1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k2"))
+    keys = ["doc_id", size.alias("size"), crc.alias("text_crc32"), F.xxhash64(text).alias("k1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k2")]
+    return docs.select(*keys, *([F.struct(*docs.columns).alias("row")] if whole else []))
 
 
 def _refined(rows: DataFrame, width: int, cells: dict[int, Cell], targets: list[int]) -> dict[int, Cell]:
@@ -133,7 +134,12 @@ def _beyond(points: list[tuple[int, int, int]]) -> Column:
 
 def assigned(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of every row."""
-    rows = written(keyed(docs), "shard-keys")
+    dealt = _dealt(written(keyed(docs), "shard-keys"), shards, ranges, tolerance)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _dealt(rows: DataFrame, shards: int, ranges: int, tolerance: float) -> DataFrame:
+    """The keyed rows with shard and slot."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     ideal = total / shards
     cuts = splitters(rows, [round(ideal * j) for j in range(1, shards)], int(ideal * tolerance))
@@ -146,14 +152,11 @@ def assigned(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES, tolera
     first = first.select("shard", "_range", F.expr(f"coalesce({before}, 0)").alias("_before"))
     slot = F.expr("row_number() over (partition by shard, _range order by k1, k2, text_crc32, size)") - 1
     dealt = spread.select("*", slot.alias("_at")).join(F.broadcast(first), ["shard", "_range"])
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), (F.col("_at") + F.col("_before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return dealt.withColumn("shard", F.col("shard").cast("int")).withColumn("slot", (F.col("_at") + F.col("_before")).cast("long"))
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The documents themselves with shard and slot; rows of equal ids must be equal, as they can't be told apart."""
-    of = assigned(docs, shards).select("doc_id", "shard", "slot", F.row_number().over(_same()).alias("_k"))
-    return docs.withColumn("_k", F.row_number().over(_same())).join(of, ["doc_id", "_k"]).drop("_k")
-
-
-def _same() -> WindowSpec:
-    return Window.partitionBy("doc_id").orderBy("doc_id")
+    """Every row of the documents with its shard and slot, whatever ids it shares; columns of these names are replaced."""
+    rows = _dealt(written(keyed(docs, whole=True), "shard-rows"), shards, RANGES, TOLERANCE)
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return rows.select(*kept, "shard", "slot")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A hot key's rows are dealt to so many tasks.
 SALTS = 64
+#: Small rows of a file.
+FILE_ROWS = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,13 +29,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/pavilion/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage ends here, and a lost executor loses nothing of it."""
+def written(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: lineage ends here, and a lost executor loses nothing of it.
+
+    Of a frame of ``most`` rows at most, all small ones, no more files are made than these rows need.
+    """
     path = new_path(df.sparkSession, name)
+    df = df if most is None else df.coalesce(1 + most // FILE_ROWS)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trimmed(spark: SparkSession) -> None:
+    """Has the executors' JVMs give back memory that holds garbage only.
+
+    A JVM keeps what its heap has grown to, and Python workers live beside it in the executor's memory: between stages
+    that are heavy on both, a collection (some tenths of a second) leaves the next one all but what is in use.
+    """
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table of :func:`written` that nothing reads any more."""
     spark = df.sparkSession
@@ -42,6 +58,13 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(prefix: str, columns: list[str]) -> str:
+    """The prefix, with as many more underscores as no column begins with; Spark doesn't tell capitals apart."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def salt(*of: str | Column) -> Column:
     return F.pmod(F.xxhash64(*of), F.lit(SALTS)).cast("int")
 

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pavilion.llm.words import ALNUM, Words, slices
+from pavilion.llm.tables import unused
+from pavilion.llm.words import ALNUM, Words, let_go, slices
 
 CATEGORIES = ("quality", "toxic")
 SAMPLE, FOLDS, BITS, ROUNDS, L2 = 12_000, 4, 18, 60, 3e-4
@@ -150,17 +151,19 @@ def fitted(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CAT
     return pickle.loads(encoded.repartition(1).mapInArrow(fit, "model binary").first().model)
 
 
-def scored(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, threshold: float = THRESHOLD) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, threshold: float = THRESHOLD, prefix: str = "_tox") -> DataFrame:
     """``docs`` with ``_tox`` (a probability for each category, in order) and ``_toxic``: whether the last one is at least the threshold."""
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, categories))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_tox", T.ArrayType(T.DoubleType())), T.StructField("_toxic", T.BooleanType())])
+    names = [prefix, prefix + "ic"]
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.DoubleType())), T.StructField(names[1], T.BooleanType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 p = model.value.probabilities(*_features(part.column("text")))
                 new = [pa.array(list(p), pa.list_(pa.float64())), pa.array(p[:, -1] >= threshold)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "_tox", "_toxic"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
+        let_go()
 
     return docs.mapInArrow(score, schema)
 
@@ -173,4 +176,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't toxic, with all their columns."""
-    return scored(docs, labels).where("not _toxic").drop("_tox", "_toxic")
+    prefix = unused("_tox", docs.columns)
+    return scored(docs, labels, prefix=prefix).where(~F.col(prefix + "ic")).drop(prefix, prefix + "ic")
