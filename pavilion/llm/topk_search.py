@@ -3,15 +3,16 @@
 A component x becomes floor(1024 * x). A query's terms are its non-zero components; a shard's postings of a term are its
 vectors' values there. With a shard's least and greatest value of each term, a term adds at most
 max(q * least, q * greatest) to a score and at least the smaller of the two. Terms are sorted by how far these bounds are
-apart. The *essential* ones, those first terms after which the rest could no longer lift a vector over the k-th best, are
-traversed for all vectors in steps; at each step vectors whose upper bound (partial sum plus what the rest adds at most)
-is below the k-th best lower bound, taken over the best row of each id, are let go. The *non-essential* terms are then only probed for vectors still
-competitive. Ties count as competitive, so results are exact. Scores are integers: sums are taken in double precision
-where they are provably below 2**53, else in Python integers.
+apart. The threshold is the k-th best score of any shard that the task has searched before for the query, or the k-th best
+lower bound so far among the shard's distinct ids, whichever is greater. The *essential* terms are the first ones after which the
+rest could no longer lift a vector of the least partial sum to the threshold: they are traversed for all vectors. The
+*non-essential* ones are probed in steps, only for vectors that are still competitive: whose partial sum plus what the rest
+adds at most reaches the threshold, which rises at each step. Ties count as competitive, so results are exact. Scores are
+integers: sums are taken in double precision where they are provably below 2**53, else in Python integers.
 
-Vectors are packed in shards, queries in blocks, both of bounded size. Each block meets each shard once: the blocks are
-sent to all shards, a stated query set (its share of the rows is fixed by the caller) against all rows. A shard returns
-k rows a query, and shards merge by rank in two steps.
+Vectors are packed in shards, queries in blocks, both of bounded size. Each block meets each shard once, by the number of
+a shard's bucket (there are as many buckets as shards, so that one holds a few): a stated query set (its share of the rows
+is fixed by the caller) against all rows. A shard returns k rows a query at most, and shards merge by rank in two steps.
 
 Defined results: vectors that are null, hold a null or a non-finite component take no part; components beyond a vector's
 end are zero, so an empty vector scores 0; a candidate is any row but the query's own, by id: rows that share an id are one
@@ -34,8 +35,8 @@ from pavilion.llm.tables import written
 K, SCALE, EVERY = 10, 1024, 100
 #: Vectors of a shard and queries of a block.
 SHARD, BLOCK = 8192, 1024
-#: Terms that are traversed between two looks at the bounds.
-STEP = 8
+#: Terms that are traversed between two looks at the bounds, and queries whose thresholds a task keeps from shard to shard.
+STEP, KEPT = 8, 1 << 16
 _HITS = "query_id long, vec_id long, score long"
 
 
@@ -90,8 +91,8 @@ class Shard:
         self.least = self.postings.min(axis=1, initial=0) if values.size else np.zeros(values.shape[1])
         self.most = self.postings.max(axis=1, initial=0) if values.size else np.zeros(values.shape[1])
 
-    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
-        """Ids and scores of the k best vectors but the query's own, best first, ties by id."""
+    def best(self, query_id: int, query: np.ndarray, k: int, threshold: float = -np.inf) -> tuple[np.ndarray, list[int]]:
+        """Ids and scores of the k best vectors but the query's own, best first, ties by id; those below the threshold may be missing."""
         n = min(len(query), len(self.postings))
         query = query[:n]
         ends = np.stack([query * self.least[:n], query * self.most[:n]])
@@ -99,29 +100,33 @@ class Shard:
         if np.abs(ends).max(initial=0) * max(n, 1) >= 2.0**53:
             return self._by_integers(query_id, query, k)
         terms = np.argsort(low - high, kind="stable")
-        terms = terms[(high - low)[terms] > 0]
+        fixed, terms = low[(high - low) == 0].sum(), terms[(high - low)[terms] > 0]  # a term that adds the same to all is no posting
         low_rest = np.r_[np.cumsum(low[terms][::-1])[::-1], 0.0]
         high_rest = np.r_[np.cumsum(high[terms][::-1])[::-1], 0.0]
+        least = low_rest[0] - low_rest + high_rest + fixed  # what a vector of the least partial sum could still reach
         alive = np.flatnonzero(self.ids != query_id)
-        sums = np.zeros(len(alive))
+        sums, essential = np.full(len(alive), fixed), True
         for at in range(0, len(terms), STEP):
             step = terms[at : at + STEP]
             every = len(alive) == len(self.ids)
             sums += query[step] @ (self.postings[step] if every else self.postings[np.ix_(step, alive)])
-            if len(alive) > 4 * k:
-                done, best = at + len(step), sums
-                if self.names < len(self.ids):  # results are k ids, so rows of one id count once
-                    best = np.full(self.names, -np.inf)
-                    np.maximum.at(best, self.name[alive], sums)
-                    best = best[best > -np.inf]
-                    if len(best) < k:
-                        continue
-                bar = np.partition(best, len(best) - k)[len(best) - k] + low_rest[done]
-                keep = sums + high_rest[done] >= bar
+            done = at + len(step)
+            threshold = max(threshold, self._bar(alive, sums, k) + low_rest[done])
+            essential = essential and least[done] >= threshold
+            if not essential and len(alive) > 4 * k:
+                keep = sums + high_rest[done] >= threshold
                 if keep.sum() < 0.8 * len(alive):
                     alive, sums = alive[keep], sums[keep]
         return self._top(self.ids[alive], sums.astype(np.int64), k)
 
+    def _bar(self, alive: np.ndarray, sums: np.ndarray, k: int) -> float:
+        """The k-th best partial sum, that of an id's best row for each id: results are k ids, not k rows."""
+        if self.names < len(self.ids):
+            best = np.full(self.names, -np.inf)
+            np.maximum.at(best, self.name[alive], sums)
+            sums = best[best > -np.inf]
+        return np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) >= k else -np.inf
+
     def _by_integers(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
         """For values beyond what doubles hold exactly."""
         alive = np.flatnonzero(self.ids != query_id)
@@ -145,26 +150,32 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     shards = _packed(vectors.where(F.col("vec_id").isNotNull()).select("vec_id", "embedding"), SHARD, "vectors")
     asked = queries.where(F.col("vec_id").isNotNull()).select("vec_id", "embedding").distinct()
     blocks = _packed(asked, BLOCK, "queries")
-    # Every block goes to every shard: (shard, block) pairs by shard number, not pairs of rows.
-    parts = shards.select("part")
-    pairs = blocks.select(F.col("blob").alias("queries"), F.lit(0).alias("_one")).join(parts.withColumn("_one", F.lit(0)).groupBy("_one").agg(F.collect_list("part").alias("_parts")), "_one")
-    sent = pairs.select("queries", F.explode("_parts").alias("part"))
+    # Every block goes to every bucket of shards: (shard, block) pairs, not pairs of rows.
+    n = max(1, shards.count())
+    dealt = shards.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(n)))
+    sent = blocks.select(F.col("blob").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("bucket"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard = None, None
+        thresholds: dict[int, int] = {}
         for batch in batches:
             for part, blob, asked in zip(batch.column("part").to_pylist(), batch.column("blob"), batch.column("queries"), strict=True):
                 if part != held:
                     held, shard = part, Shard(*_unpacked(blob.as_py()))
+                if len(thresholds) > KEPT:
+                    thresholds.clear()
                 out: list[list] = [[], [], []]
                 for q, query in zip(*_unpacked(asked.as_py()), strict=True):
-                    ids, scores = shard.best(int(q), query, k)
+                    key = int(q), hash(query.tobytes())  # rows of one id may hold several vectors
+                    ids, scores = shard.best(int(q), query, k, thresholds.get(key, -np.inf))
+                    if len(scores) == k:
+                        thresholds[key] = max(scores[-1], thresholds.get(key, scores[-1]))
                     out[0] += [int(q)] * len(scores)
                     out[1] += ids.tolist()
                     out[2] += scores
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
-    hits = shards.join(sent, "part").select("part", "blob", "queries").mapInArrow(search, _HITS)
+    hits = dealt.join(sent, "bucket").select("part", "blob", "queries").mapInArrow(search, _HITS)
     best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
