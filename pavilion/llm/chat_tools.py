@@ -6,7 +6,7 @@ of the longest chain), and calls are ordered by level, position and id: a topolo
 variants and checked against the tool's schema. Canonical JSON has sorted keys and no spaces.
 
 A conversation may hold a third of all rows: joins are by call, ranks are counted within slices of SLICE positions of a
-level and stitched by the slices' counts, and no list of a conversation's calls is ever collected.
+level and stitched by the counts of slices and of blocks of levels, and no list of a conversation's calls is ever collected.
 
 Defined results: of calls that share an id the first (by position, then arguments) counts, and so with results; a call
 without a result has status ``pending``; results without a call are left out; a call that waits for an unknown call is on
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from pavilion.llm.tables import looked_up, written
 
-SLICE = 1024
+#: Positions of a slice, and levels of a block.
+SLICE, LEVELS = 1024, 1024
 #: What schema_of_variant says of a value of each type.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY<.*", "object": "OBJECT<.*"}
 Schema = dict[str, tuple[str, bool]]
@@ -76,31 +77,40 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) ->
     found = looked_up(waits, known.select(F.struct("conv_id", "depends_on").alias("_w"), "_known"), "_w", "call_id", "left").select("conv_id", "call_id", F.coalesce("_known", F.lit(False)).alias("_known"))
     joined = calls.join(found, ["conv_id", "call_id"], "left")
     graph = joined.select("conv_id", "call_id", F.when(F.col("_known"), F.col("depends_on")).alias("depends_on"))
-    joined = joined.join(levels(graph), ["conv_id", "call_id"]).join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
+    joined = joined.join(levels(graph), ["conv_id", "call_id"]).join(results, ["conv_id", "call_id"], "left")
     parsed = joined.withColumn("_args", F.try_parse_json("arguments")).withColumn("_kind", F.schema_of_variant("_args"))
     graph_errors = F.array(F.when(~F.coalesce("_known", F.lit(True)), F.lit("depends_on: unknown call")), F.when(F.col("level").isNull(), F.lit("depends_on: cycle")))
     checked = parsed.withColumn("errors", F.array_compact(F.concat(_errors(schemas), graph_errors)))
-    record = F.to_json(F.struct(F.col("_args").alias("arguments"), F.col("call_id"), F.col("conv_id"), F.col("depends_on"), F.col("errors"), F.col("level"), F.col("name"), F.col("content").alias("result")))
+    record = F.to_json(F.struct(F.col("_args").alias("arguments"), F.col("call_id"), F.col("conv_id"), F.col("depends_on"), F.col("errors"), F.col("level"), F.col("name"), F.col("content").alias("result")), {"ignoreNullFields": "true"})
     status = F.when(F.size("errors") > 0, "invalid").when(F.col("result_position").isNull(), "pending").otherwise("complete")
     rows = written(checked.select("conv_id", "call_id", F.coalesce("level", F.lit((1 << 62))).alias("_level"), "level", "position", status.alias("status"), "errors", record.alias("record"), F.floor(F.coalesce("position", F.lit(-1)) / SLICE).alias("_slice")), "linked")
-    part = ["conv_id", "_level", "_slice"]
-    before = Window.partitionBy("conv_id").orderBy("_level", "_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*part).agg(F.count("*").alias("_n")).select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # The calls before a slice: sums over the slices of its block of levels, and over the blocks before. A chain has a level
+    # for each call, so one window over a conversation's levels would be a row for each of its calls.
+    part = ["conv_id", "_block", "_level", "_slice"]
+    rows = rows.withColumn("_block", F.floor(F.col("_level") / LEVELS))
+    sums = lambda over: F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = rows.groupBy(*part).agg(F.count("*").alias("_n"))
+    blocks = slices.groupBy("conv_id", "_block").agg(F.sum("_n").alias("_n")).select("conv_id", "_block", sums(Window.partitionBy("conv_id").orderBy("_block")).alias("_base"))
+    counts = slices.select(*part, sums(Window.partitionBy("conv_id", "_block").orderBy("_level", "_slice")).alias("_before")).join(blocks, ["conv_id", "_block"])
     at = F.row_number().over(Window.partitionBy(*part).orderBy("position", "call_id")) - 1
-    return rows.withColumn("_at", at).join(counts, part).select("conv_id", "call_id", "level", (F.col("_at") + F.col("_before")).cast("long").alias("rank"), "status", "errors", "record")
+    return rows.withColumn("_at", at).join(counts, part).select("conv_id", "call_id", "level", (F.col("_at") + F.col("_before") + F.col("_base")).cast("long").alias("rank"), "status", "errors", "record")
 
 
-#: Turns of plain conversations as calls: a user's turn asks for a reply and waits for the exchange before it.
-REPLY: dict[str, Schema] = {"reply": {"text": ("string", True), "n_chars": ("integer", True)}}
+#: Turns of plain conversations as calls: a user's turn asks for a reply and waits for the exchange before it. It has to have
+#: a text, and to follow a turn that is there; one that follows another user's turn is of a tool that there isn't.
+REPLY: dict[str, Schema] = {"reply": {"after": ("string", True), "text": ("string", True), "n_chars": ("integer", True)}}
 
 
 def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table of turns (conv_id, turn, role, text)."""
     name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     turn = F.col("turn")
-    asked = conversations.where("role = 'user' and turn is not null")
+    asked = conversations.where("role = 'user' and turn is not null and conv_id is not null").select("conv_id", "turn", "text")
+    roles = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", (turn + 1).alias("turn")).agg(F.min("role").alias("_role"))
+    asked = asked.join(roles, ["conv_id", "turn"], "left").withColumn("after", F.when(turn == 0, "start").otherwise(F.col("_role")))
     earlier = F.when(turn >= 2, name(turn - 2))
-    calls = asked.select("conv_id", name(turn).alias("call_id"), turn.alias("position"), F.lit("reply").alias("name"), F.to_json(F.struct(F.length("text").alias("n_chars"), "text")).alias("arguments"), earlier.alias("depends_on"))
+    arguments = F.to_json(F.struct("after", F.length("text").alias("n_chars"), "text"), {"ignoreNullFields": "true"})
+    calls = asked.select("conv_id", name(turn).alias("call_id"), turn.alias("position"), F.when(F.col("after") == "user", "interruption").otherwise("reply").alias("name"), arguments.alias("arguments"), earlier.alias("depends_on"))
     results = conversations.where("role = 'assistant' and turn is not null").select("conv_id", name(turn - 1).alias("call_id"), turn.alias("position"), F.col("text").alias("content"))
     return calls, results
 
