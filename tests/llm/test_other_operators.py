@@ -66,6 +66,61 @@ def test_main_text_without_what_never_belongs(mark):
     assert html_extract.main_text(f"<body><div>{BODY}</div><div class='{mark}'>{more}</div></body>") == "\n\n".join(LONG)
 
 
+@pytest.mark.parametrize(
+    ("more", "kept"),
+    [
+        ('<div class="box7"><a>Buy now</a> <a>cheap</a></div>', ""),
+        ('<div title="a hidden gem">It shines, they say. It does.</div>', "It shines, they say. It does."),
+        ('<p data-id="reply-1">An answer, of a kind. It is one.</p>', "An answer, of a kind. It is one."),
+        ('<section class="related-work"><p>Others, too, have tried. In vain.</p></section>', "Others, too, have tried. In vain."),
+        ("<figure><figcaption>A caption, here.</figcaption></figure>", "A caption, here."),
+        ("<p>A sum, <math><mi>x</mi><mo>+</mo><mn>1</mn></math>, it is.</p>", "A sum, x+1, it is."),
+        ('<p>Before it, <span class="advert">buy <span>this</span> now</span>after it.</p>', "Before it, after it."),
+        ('<p>Before it, <span hidden>not shown, </span>after it.</p>', "Before it, after it."),
+        ("<p title='open>A quote, never closed. So it is.</p>", "A quote, never closed. So it is."),
+    ],
+)
+def test_main_text_inside_an_article(more, kept):
+    page = f"<body><article>{BODY}{more}</article></body>"
+    assert html_extract.main_text(page) == "\n\n".join([*LONG, *[kept] * bool(kept)])
+
+
+@pytest.mark.parametrize("page", ["<p>a</p>" + "<title" * 170000, "<p>a</p>" + "<title>" * 140000, "<div>" * 100000 + "a, b.", "<div>a, b." * 50000, "<p>a</p>" + "<i title='" * 100000, "<div>" + "<x-a>a" * 50000 + "<p>b" * 50000, "<td>" + "<x-b>" * 50000 + "</section></p>" * 50000, '<p class="' * 100000, "<!--" * 250000])
+def test_broken_pages_take_no_longer(page):
+    """Pages of about a megabyte; the longest is read in a second or so."""
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    text = html_extract.main_text(page)
+    assert time.process_time() - began < 4
+    tracemalloc.start()
+    assert html_extract.main_text(page) == text
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
+def test_path_scores():
+    """The fused scores against a plain calculation of the ratios of each path."""
+    found, _ = html_extract.blocks(f"<body><ul><li><a>One</a><li><a>Two</a></ul><article><h1>Head</h1>{BODY}<ul><li>An item, of two.<li>Another.</ul></article><div>Foot.</div></body>")
+    scores, links = html_extract._scores(found)
+    names, by = [], {}
+    for text, element, linked in found:
+        path, own = "", element
+        while own.parent:
+            path, own = f"{own.name}/{path}", own.parent
+        names += [path] * (path not in names)
+        by.setdefault(path, []).append((len(text), sum(text.count(c) for c in ".,;:!?"), linked, element.path))
+    mean = [(sum(b[0] for b in by[p]) / len(by[p]), sum(b[1] for b in by[p]) / len(by[p])) for p in names]
+    for i, p in enumerate(names):
+        weights = {j: math.exp(-((i - j) ** 2) / (2 * html_extract.WIDTH**2)) for j in range(len(names)) if abs(i - j) <= 2}
+        length, marks = (sum(w * mean[j][k] for j, w in weights.items()) / sum(weights.values()) for k in (0, 1))
+        share = sum(b[2] for b in by[p]) / sum(b[0] for b in by[p])
+        assert scores[by[p][0][3]] == pytest.approx((length * (marks + 0.1)) ** 0.5 * min(1, mean[i][0] / length) * (1 - share))
+        assert (by[p][0][3] in links) == (share >= 0.5)
+    assert len(names) == len(scores) == 5
+
+
 def test_long_page_is_whole():
     words = [f"word{k}, and more." for k in range(30000)]
     page = "<article>" + "".join(f"<p>{w}</p>" for w in words) + "</article>"
@@ -111,6 +166,21 @@ def test_sharding(spark):
     assert len(groups["the same text of many rows, é"]) > 1
 
 
+def test_sharded_rows(spark):
+    """Rows without an id, of equal ids and of columns that clash all come back, with the shard of their own text."""
+    rows = [*shard_rows(), (None, "another"), (7, "seven again"), (7, "and again")]
+    docs = spark.createDataFrame([(i, t, "s", 1, "k") for i, t in rows], "doc_id long, text string, shard string, _k int, k1 string").repartition(3)
+    got = sharding.sharded(docs, 5).collect()
+    assert sorted((r.doc_id, r.text, r._k, r.k1) for r in got if r.doc_id and r.text) == sorted((i, t, 1, "k") for i, t in rows if i and t)
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 2
+    digest = sharding.assigned(docs, 5).collect()
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert sorted((r.doc_id or -1, crc(r.text), r.shard) for r in got) == sorted((r.doc_id or -1, r.text_crc32, r.shard) for r in digest)
+    for shard in range(5):
+        own = sorted(r.slot for r in got if r.shard == shard)
+        assert own == list(range(len(own)))
+
+
 def test_sharding_of_little(spark):
     schema = "doc_id long, text string"
     assert sharding.assigned(spark.createDataFrame([], schema)).count() == 0
@@ -164,6 +234,25 @@ def test_top_k_of_repeated_rows(spark, nudge):
     assert got == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
 
 
+def test_top_k_over_many_shards(spark, monkeypatch):
+    """Thresholds pass from shard to shard; one id has a third of all rows; no join without a key."""
+    monkeypatch.setattr(topk_search, "SHARD", 60)
+    monkeypatch.setattr(topk_search, "BLOCK", 3)
+    rng = random.Random(12)
+    vectors = [(k, [rng.gauss(0, 0.2) * (9 if j < 4 else 1) for j in range(32)]) for k in range(700)]
+    vectors += [(7, vectors[7][1])] * 350
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(2)
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in vectors}
+    found = topk_search.digest(frame)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    got: dict[int, list] = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 700, 100):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in whole.items() if i != q)[:10]
+        assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+
+
 def test_top_k_of_huge_values(spark):
     rows = [(0, [3.0e9, 1.0]), (1, [2.0e3, 5.0]), (2, [1.0e3, 9.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -205,6 +294,60 @@ def test_tool_calls(spark):
     assert chat_tools.linked(calls.limit(0), results, SCHEMAS).count() == 0
 
 
+def plain_linked(calls, results):
+    """Order, level, status of each call, by following chains one by one."""
+    first, found = {}, {(r[0], r[1]) for r in results if None not in r[:2]}
+    for c in sorted((c for c in calls if None not in c[:2]), key=lambda c: (c[2], c[4])):
+        first.setdefault(c[:2], c)
+
+    def level(c, seen=()):
+        to = (c[0], c[5])
+        if c[5] is None or to not in first:
+            return 0
+        if to in seen:
+            return None
+        below = level(first[to], (*seen, to))
+        return None if below is None else below + 1
+
+    rows = {key: level(c, (key,)) for key, c in first.items()}
+    out = {}
+    for conv in {c for c, _ in first}:
+        own = sorted((k for k in first if k[0] == conv), key=lambda k: (rows[k] is None, rows[k] or 0, first[k][2], k[1]))
+        for rank, key in enumerate(own):
+            c = first[key]
+            try:
+                arguments = json.loads(c[4])
+                bad = not isinstance(arguments, dict) or any(p != "x" for p in arguments) or "x" not in arguments or type(arguments["x"]) not in (int, float)
+            except ValueError:
+                bad = True
+            bad |= c[3] != "add" or rows[key] is None or c[5] is not None and (conv, c[5]) not in first
+            out[key] = (rows[key], rank, "invalid" if bad else "complete" if key in found else "pending")
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tool_calls_against_following_chains(spark, monkeypatch, seed):
+    """Chains, trees, cycles and repeated calls; one conversation holds more than a third of all rows."""
+    monkeypatch.setattr(chat_tools, "SLICE", 3)
+    monkeypatch.setattr(chat_tools, "LEVELS", 4)
+    rng, calls, results = random.Random(seed), [], []
+    for k in range(160):
+        conv = "hot" if k % 2 else f"c{rng.randrange(6)}"
+        to = rng.choice([None, f"a{k - 2}", f"a{k - 2}", f"a{rng.randrange(200)}"])
+        calls.append((conv, f"a{k}", rng.randrange(60), rng.choice(["add", "add", "add", "sub"]), rng.choice(['{"x": 1}', '{"x":2.5}', '{"x":"s"}', "{}", "[", '{"x":1,"y":2}']), to))
+        results += [(conv, f"a{k}", 1, "r")] * rng.randrange(3)
+    calls += [calls[3], calls[5], (None, "a1", 1, "add", "{}", None)]
+    got = chat_tools.linked(spark.createDataFrame(calls, "conv_id string, call_id string, position long, name string, arguments string, depends_on string"), spark.createDataFrame(results, "conv_id string, call_id string, position long, content string"), SCHEMAS)
+    assert {(r.conv_id, r.call_id): (r.level, r.rank, r.status) for r in got.collect()} == plain_linked(calls, results)
+
+
+def test_tool_calls_of_odd_conversations(spark):
+    """A turn after a gap, one after another user's turn, and repeated turns."""
+    turns = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (1, 4, "user", "d"), (1, 5, "assistant", "e"), (2, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b")]
+    got = {r.call_id: (r.status, r.errors) for r in chat_tools.digest(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {"1:0": ("pending", []), "1:1": ("invalid", ["name: no such tool"]), "1:4": ("invalid", ["after: missing", "depends_on: unknown call"]), "2:0": ("complete", [])}
+
+
 def test_tool_calls_of_conversations(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo"), (1, 3, "user", "more"), (2, 0, "user", None), (2, 1, "assistant", "?"), (None, 0, "user", "x"), (3, None, "user", "x")]
     got = {r.call_id: r for r in chat_tools.digest(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}

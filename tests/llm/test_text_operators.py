@@ -6,7 +6,7 @@ import zlib
 import pytest
 from tests.llm import brute
 
-from pavilion.llm import decontam, near_dedup, packing, substring_dedup, token_counts, toxicity
+from pavilion.llm import blobs, decontam, near_dedup, packing, substring_dedup, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, _salt string, bucket int"
 
@@ -99,6 +99,8 @@ def test_decontamination_cuts_spans(spark, docs):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_substring_dedup(spark, seed, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 6000)
+    monkeypatch.setattr(blobs, "GROUP_BYTES", 6000)
+    monkeypatch.setattr(blobs, "PIECE_BYTES", 1500)
     monkeypatch.setattr(substring_dedup, "BUCKET_HASHES", 500)
     data = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x", 7) for i, t in data], SCHEMA)
@@ -122,6 +124,19 @@ def test_near_dedup(spark, seed):
     assert got == sorted(brute.components(data), key=str)
 
 
+@pytest.mark.parametrize(("rows", "hashes"), [(5, 200), (40, 2 << 20)])
+def test_near_dedup_of_many_chunks(spark, monkeypatch, rows, hashes):
+    """Chunks of a few documents and many bucket ranges; rows that share an id are one document, whatever their texts."""
+    monkeypatch.setattr(near_dedup, "CHUNK_ROWS", rows)
+    monkeypatch.setattr(near_dedup, "SKETCHED", rows)
+    monkeypatch.setattr(near_dedup, "BUCKET_ENTRIES", hashes)
+    data = corpus(3, 90)
+    data += [(3, data[7][1]), (3, "quite another text of more than five words"), (2000, "quite another text of more than five words")]
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in data], SCHEMA).repartition(3)
+    got = rows_of(near_dedup.clustered(docs), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute.components(data), key=str)
+
+
 def test_near_dedup_keeps_columns(spark, docs):
     kept = near_dedup.representatives(docs)
     assert kept.columns == docs.columns
@@ -144,6 +159,25 @@ def test_near_dedup_between_components(spark):
     assert got == sorted(brute.components(data), key=str)
 
 
+@pytest.mark.parametrize(("block", "tile"), [(8, 1 << 20), (1024, 400), (8, 400)])
+def test_near_dedup_in_small_tiles(spark, monkeypatch, block, tile):
+    """The same chain, each set in a chunk of its own, so that all links lie between components."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "TILE_SHINGLES", tile)
+    monkeypatch.setattr(near_dedup, "CHUNK_ROWS", 1)
+    monkeypatch.setattr(near_dedup, "SKETCHED", 1)
+    rng = random.Random(8)
+    base, data = [f"w{k}" for k in range(160)], []
+    for k in range(70):
+        words = list(base)
+        for _ in range(rng.choice([4, 5, 6, 7, 8])):
+            words[rng.randrange(160)] = f"c{k}_{rng.random()}"
+        data.append((k, " ".join(words)))
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in data], SCHEMA)
+    got = rows_of(near_dedup.clustered(docs), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute.components(data), key=str)
+
+
 @pytest.mark.parametrize("rows", [10000, 1])
 def test_near_dedup_behind_longer_documents(spark, rows):
     """Short near copies whose buckets are all led by documents too long for a link, in one batch and each in its own."""
@@ -166,7 +200,8 @@ def test_near_dedup_pairs_of_bands_alike_in_bytes(spark):
     nodes = spark.createDataFrame([(k, 50, b, bytearray(near_dedup.COORDS)) for k, b in bands.items()], "rep long, n long, bands array<long>, fine binary")
     labels = spark.createDataFrame([(1, 1), (2, 2)], "v long, comp long")
     for least in near_dedup.LEAST:
-        assert rows_of(near_dedup.between(nodes, labels, labels.toDF("a", "b").limit(0), least), "a", "b") == [(2, 1)]
+        tiles = near_dedup.between(nodes, labels, least, 2.0).collect()
+        assert sorted(r.v for r in tiles if r.v is not None) == [1, 2] and len({r.tile for r in tiles}) == 1 and len([r for r in tiles if r.data]) == 1
 
 
 def test_sketch_estimates_similarity():
@@ -183,6 +218,17 @@ def test_sketch_estimates_similarity():
         assert (s != 0).all()
 
 
+def test_columns_that_clash(spark):
+    """Extra columns of the names that operators use for their own come through unchanged."""
+    names = ["_grp", "grp", "blob", "_tox", "_TOXIC", "_dc_mask", "_dc_words", "_salt", "rep", "band", "tile"]
+    docs = spark.createDataFrame([(i, t, *["x"] * len(names)) for i, t in corpus()], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, corpus()[0][1])], "item_id long, text string")
+    for out in (substring_dedup.remove_repeats(docs), toxicity.clean(docs, labels), decontam.remove_spans(docs, benchmark), decontam.remove_documents(docs, benchmark), near_dedup.representatives(docs)):
+        assert out.columns == docs.columns
+        assert {r[2:] for r in out.collect()} == {("x",) * len(names)}
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
@@ -205,6 +251,49 @@ def test_packing(spark, docs):
     assert packing.packed(docs.limit(0)).count() == 0
 
 
+def test_word_encoder_equals_the_tokenizer():
+    """Letters whose lower case or normal form is two characters, marks that compose, special tokens and white space of all kinds."""
+    import numpy as np
+    import pyarrow as pa
+
+    odd = ["\u0130", "\u0131", "\u03a3", "\u03c2", "\xe9", "A\u030a", "H\u0331", "\u0331", "\u0301", "\xdf", "\u0149", "\xd7", "\xf7", "\xb5", "\u0958", ",", ".", "!", "'", "'s", "'T", "\u2019", "\u2026", "\xa0", "\u2003", "\x85", "\x1c", "\x00", "9", "\u2167", "\u5b57", "\ud55c", "\u1100", "\u1161", "<|", "<|endoftext|>", "<|ENDOFTEXT|>", "_", "a", "Z", "the", "\xd1", "\u0153", "\u017d", "\u200d", "\u01c5", "\u212a", "\u0345", "x" * 70]
+    plain = [x for x in odd if "<|" not in x and not "\u0300" <= x[-1] <= "\u036f"]
+    words, rng = packing.encoder(packing.default_tokenizer()), random.Random(9)
+    for at in range(40):
+        pool = plain if at % 2 else odd
+        texts = ["".join(rng.choice(pool) if rng.random() < 0.8 else rng.choice(" \n\t\x0b\x0c\r") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+        texts += [None, "", "\u0130.", "x\u0130!"]
+        got = [np.frombuffer(x, "<u4").tolist() for x in words.rows(pa.array(texts))]
+        assert got == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_word_encoder_of_another_kind(tmp_path):
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    words = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not words.by_word
+    texts = ["Two  words, and\nmore", "", None, " x "]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.rows(pa.array(texts))] == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_pads_little(spark):
+    """Under 2 % of the ids' number is padding, also where a third of all rows are one and have no id."""
+    rng = random.Random(7)
+    rows = [(k, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.choice([5, 40, 300, 900]))), "x", 7) for k in range(600)]
+    docs = spark.createDataFrame([*rows, *[(None, "one two " * 20, "x", 7)] * 300], SCHEMA).repartition(4)
+    got = packing.packed(docs, group=100).collect()
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    tokens = sum(r.length for r in got)
+    assert max(len({(r.doc_id, r.start) for r in got if r.sequence_id >> 32 == g}) for g in {r.sequence_id >> 32 for r in got}) < 200
+    assert sum(r.doc_tokens for r in got if r.start == 0) == tokens
+    # A group may leave its last sequences half full: some two of them for each of the ten groups of this small table.
+    assert len(sequences) * packing.LENGTH - tokens < 0.02 * tokens + 10 * 2 * packing.LENGTH
+
+
 def test_first_fit_decreasing():
     rng = random.Random(2)
     sizes = [rng.randint(1, 100) for _ in range(300)]
@@ -233,10 +322,23 @@ def test_token_counts(spark, docs, tmp_path):
             assert all(b.start == a.start + a.n_tokens + 1 for a, b in zip(own, own[1:], strict=False))
 
 
+def test_token_counts_of_special_tokens_and_many_files(spark, tmp_path, monkeypatch):
+    """A text that spells a special token out is one document; runs and files of a few documents."""
+    monkeypatch.setattr(token_counts, "RUN_BYTES", 20)
+    monkeypatch.setattr(token_counts, "RUNS", 2)
+    texts = ["one two <|endoftext|> three", "<|endoftext|>", None, "", *(" ".join(["word"] * k) for k in range(30))]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    folder = f"file://{tmp_path}/tokens"
+    token_counts.write_token_files(docs, folder)
+    got = token_counts.counted(spark, folder, block=5).collect()
+    assert all(r.closed for r in got) and len({r.file for r in got}) > 6
+    assert sorted(r.n_tokens for r in got) == sorted([4, 1, 0, 0, *range(30)])
+
+
 def test_token_counts_of_an_open_document(spark, tmp_path):
     import numpy as np
 
-    np.array([5, 6, 49407, 49407, 8], "<u2").tofile(tmp_path / "part-0")
+    np.array([5, 6, token_counts.SEPARATOR, token_counts.SEPARATOR, 8], "<u2").tofile(tmp_path / "part-0")
     open(tmp_path / "part-1", "w").close()
     got = sorted((r.doc_no, r.start, r.n_tokens, r.closed) for r in token_counts.counted(spark, f"file://{tmp_path}", block=2).collect())
     assert got == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 1, False)]
