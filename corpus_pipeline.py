@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pavilion.llm import decontam, near_dedup, packing, substring_dedup, toxicity
-from pavilion.llm.tables import written
+from pavilion.llm.tables import trimmed, written
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -18,22 +18,27 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trimmed(spark)
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trimmed(spark)
     return near_dedup.representatives(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trimmed(spark)
     return _recounted(substring_dedup.remove_repeats(docs))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trimmed(spark)
     return _recounted(decontam.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trimmed(spark)
     return packing.packed(docs)
 
 
