@@ -64,3 +64,15 @@ assert 'leaderboard_core' in names and not any(n.startswith(('op1_', 'pipeline')
 assert not any(m.startswith('pavilion.llm') for m in sys.modules)
 """
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=tmp_path)
+
+
+@pytest.mark.parametrize("absent", ["pavilion.llm", "corpus_pipeline", "numpy", "pyarrow"])
+def test_entry_where_something_cannot_be_imported(absent):
+    code = f"""
+import sys
+sys.modules[{absent!r}] = None
+import __spark_entry__ as e
+names = e.queries()
+assert 'leaderboard_core' in names and 'pipeline' not in names and set(e.oracle_sql()) <= set(names)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=Path(entry.__file__).parent)
