@@ -116,14 +116,15 @@ def assert_one_to_one(matched: DataFrame) -> None:
 def overrides(sources: dict[str, DataFrame]) -> DataFrame:
     """One decision a player: of the strongest source, the last within it; with the number of decisions it overrules.
 
-    Each source has player_id, sheet_player_id, action (match, no_match, no_profile) and row (its order).
+    Each source has player_id, sheet_player_id, action (match, no_match, no_profile) and row (its order). Of decisions of one
+    row the first by action and sheet_player_id stands.
     """
     every = None
     for rank, name in enumerate(PRECEDENCE):
         if name in sources:
             own = sources[name].select("player_id", "sheet_player_id", "action", F.col("row").cast("long").alias("row"), F.lit(rank).alias("rank"), F.lit(name).alias("source"))
             every = own if every is None else every.unionByName(own)
-    best = F.min_by(F.struct("sheet_player_id", "action", "source"), F.struct("rank", (-F.col("row")).alias("r")))
+    best = F.min_by(F.struct("sheet_player_id", "action", "source"), F.struct("rank", (-F.col("row")).alias("r"), "action", "sheet_player_id"))
     return every.groupBy("player_id").agg(best.alias("d"), (F.count("*") - 1).alias("shadowed")).select("player_id", "d.*", "shadowed")
 
 

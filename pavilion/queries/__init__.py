@@ -39,7 +39,12 @@ def _publish(spark: SparkSession, sf_dir: str) -> str:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/work/{name}")
         return spark.read.parquet(f"{root}/work/{name}")
 
-    publish(marts.build(analogue.store(spark, sf_dir), keep), root, CLUSTERS, gates.failures)
+    store = analogue.store(spark, sf_dir)
+    # What every mart and gate reads is made once.
+    store |= {name: keep(f"store-{name}", store[name]) for name in ("deliveries", "wickets")}
+    built = marts.build(store, keep)
+    facts = spark.read.parquet(f"{root}/work/facts")
+    publish(built, root, CLUSTERS, lambda published: gates.failures(published, store, facts))
     return root
 
 

@@ -430,7 +430,7 @@ def _(m: Marts):
     return both.select("player_id", "player_name", "runs", place.alias("place"))
 
 
-@on_marts("pinned_float", sql(f"SELECT * FROM (SELECT *, player_id IN ('p3', 'p14') AS pinned FROM ({_TOP}) q) z ORDER BY pinned DESC, runs DESC, player_id, player_name LIMIT 30"))
+@on_marts("pinned_float", sql("SELECT * FROM (SELECT *, player_id IN ('p3', 'p14') AS pinned FROM (SELECT * FROM _top UNION ALL SELECT pin, NULL, NULL FROM (VALUES ('p3'), ('p14')) v(pin) WHERE pin NOT IN (SELECT player_id FROM _top)) q) z ORDER BY pinned DESC, runs DESC NULLS LAST, player_id, player_name LIMIT 30", f"_top AS ({_TOP})"))
 def _(m: Marts):
     spec = replace(BAT, columns=("runs",), pins=("p3", "p14"), limit=30)
     return ordered(spec, grouped(replace(spec, pins=()), m))

@@ -1,7 +1,8 @@
 """A ball-by-ball store derived from relational tables (orders, lineitem, customer).
 
 Every 32 orders are a match of two innings (16 orders each; some matches have a super over), a line item is a delivery,
-and customers are players, eleven to a team. The text is SQL that both Spark and other engines read, so that one
+and customers are players, eleven to a team: players, teams, matches and deliveries all grow with the tables. A match's
+teams follow from its first and last customer, low numbers far more often: some players play a lot, most a little. The text is SQL that both Spark and other engines read, so that one
 definition of the input serves the engine and its checks; nothing of the engine's logic is in it.
 """
 
@@ -15,7 +16,7 @@ TABLES = {
     "a_players": """
         SELECT 'p' || CAST(c_custkey AS STRING) AS player_id, 'Player ' || CAST(c_custkey AS STRING) AS player_name,
                CAST(floor(c_custkey / 11) AS INT) AS team_no, CAST(c_custkey AS INT) AS number
-        FROM customer WHERE c_custkey < 275""",
+        FROM customer""",
     "a_matches": """
         SELECT 'm' || CAST(n AS STRING) AS match_id, n, t1, t2, 'Team ' || CAST(t1 AS STRING) AS team_1, 'Team ' || CAST(t2 AS STRING) AS team_2,
                CASE WHEN n % 3 = 0 THEN 'female' ELSE 'male' END AS gender,
@@ -26,8 +27,11 @@ TABLES = {
                CASE WHEN n % 19 = 0 THEN NULL WHEN n % 23 = 0 THEN '' ELSE 'Event ' || CAST(n % 17 AS STRING) END AS event_name,
                CASE WHEN o_orderstatus = 'F' THEN 'Team ' || CAST(t1 AS STRING) WHEN o_orderstatus = 'O' THEN 'Team ' || CAST(t2 AS STRING) END AS winner,
                CASE WHEN o_orderstatus = 'P' THEN CASE n % 4 WHEN 0 THEN 'draw' WHEN 1 THEN 'tie' WHEN 2 THEN 'no result' ELSE 'tie (eliminator)' END END AS result_type
-        FROM (SELECT *, CAST(floor(o_orderkey / 32) AS INT) AS n, CAST(o_custkey % 25 AS INT) AS t1,
-                     CAST((o_custkey % 25 + 1 + floor(o_orderkey / 32) % 24) % 25 AS INT) AS t2 FROM orders WHERE o_orderkey % 32 = 0) o""",
+        FROM (SELECT o.*, CAST(CASE WHEN first_team <> last_team THEN last_team WHEN first_team + 1 < k THEN first_team + 1 ELSE 0 END AS INT) AS t2
+              FROM (SELECT n, o_orderdate, o_orderstatus, k, CAST(floor(a * a / m * a / m / 11) % k AS INT) AS t1, floor(a * a / m * a / m / 11) % k AS first_team, floor(z * z / m * z / m / 11) % k AS last_team
+                    FROM (SELECT CAST(floor(o_orderkey / 32) AS INT) AS n, min_by(o_orderdate, o_orderkey) AS o_orderdate, min_by(o_orderstatus, o_orderkey) AS o_orderstatus,
+                                 CAST(min_by(o_custkey, o_orderkey) AS DOUBLE) AS a, CAST(max_by(o_custkey, o_orderkey) AS DOUBLE) AS z FROM orders GROUP BY CAST(floor(o_orderkey / 32) AS INT)) g
+                    CROSS JOIN (SELECT floor(max(c_custkey) / 11) AS k, CAST(max(c_custkey) AS DOUBLE) AS m FROM customer) c) o) p""",
     "a_balls": """
         SELECT *, CAST(floor(seq / 6) AS INT) AS over_number, CAST(seq % 6 AS INT) AS ball_index,
                CASE WHEN inn = 1 THEN t2 ELSE t1 END AS bat, CASE WHEN inn = 1 THEN t1 ELSE t2 END AS bowl,
@@ -50,13 +54,15 @@ TABLES = {
                CASE WHEN l_suppkey % 19 = 3 AND runs_batter IN (4, 6) THEN TRUE END AS is_not_boundary
         FROM a_balls""",
     "a_wickets": """
-        SELECT b.match_id, inn AS innings_number, over_number, ball_index, w AS wicket_index,
+        SELECT match_id, innings_number, over_number, ball_index, CAST(row_number() OVER (PARTITION BY match_id, innings_number, over_number, ball_index ORDER BY w) - 1 AS INT) AS wicket_index, player_out, player_out_id, kind
+        FROM (SELECT *, row_number() OVER (PARTITION BY match_id, innings_number, player_out_id ORDER BY over_number, ball_index, w) AS nth FROM (
+        SELECT b.match_id, inn AS innings_number, over_number, ball_index, w,
                CASE WHEN w = 1 OR k = 3 THEN 'Player ' || CAST(bat * 11 + partner AS STRING) ELSE 'Player ' || CAST(bat * 11 + striker AS STRING) END AS player_out,
                CASE WHEN w = 1 OR k = 3 THEN 'p' || CAST(bat * 11 + partner AS STRING) ELSE 'p' || CAST(bat * 11 + striker AS STRING) END AS player_out_id,
                CASE WHEN w = 1 THEN 'run out' ELSE CASE k WHEN 1 THEN 'caught' WHEN 2 THEN 'lbw' WHEN 3 THEN 'run out' WHEN 4 THEN 'stumped' WHEN 5 THEN 'caught and bowled'
                     WHEN 6 THEN 'hit wicket' WHEN 7 THEN 'retired hurt' WHEN 8 THEN 'caught' WHEN 9 THEN 'retired not out' WHEN 10 THEN 'retired out' WHEN 11 THEN 'obstructing the field' ELSE 'bowled' END END AS kind
         FROM (SELECT *, CAST(floor(pk / 13) AS INT) % 12 AS k, 0 AS w FROM a_balls WHERE pk % 13 = 0
-              UNION ALL SELECT *, 0 AS k, 1 AS w FROM a_balls WHERE pk % 91 = 0) b""",
+              UNION ALL SELECT *, 0 AS k, 1 AS w FROM a_balls WHERE pk % 91 = 0) b) c) d WHERE nth = 1""",
     "a_innings": """
         SELECT match_id, inn AS innings_number, 'Team ' || CAST(min(bat) AS STRING) AS batting_team, CASE WHEN inn = 2 THEN TRUE END AS super_over FROM a_balls GROUP BY match_id, inn""",
     "a_match_players": """

@@ -11,6 +11,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -60,17 +61,22 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if fs.exists(at):
-        fs.delete(at, False)
-    if not fs.rename(temporary, at):
-        raise OSError(f"could not publish {path}")
+    jvm = spark._jvm
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(temporary, at, how)
 
 
 # ---- sinks ----------------------------------------------------------------------------------------------------------
 def write_clustered(df: DataFrame, path: str, cluster: list[str]) -> None:
-    """Parquet sorted by the clustering columns within files, and each month's rows together: date filters skip files and row groups."""
+    """Parquet sorted by the clustering columns within files, and each month's rows together: date filters skip files and row groups.
+
+    A month that is too large for a task is split, and small ones share a task.
+    """
     if {"year", "month"} <= set(df.columns):
-        df = df.repartition("year", "month")
+        df = df.hint("rebalance", F.col("year"), F.col("month"))
     out = df.sortWithinPartitions(*cluster) if cluster else df
     out.write.mode("overwrite").option("compression", CODEC).option("maxRecordsPerFile", FILE_ROWS).parquet(path)
 
@@ -85,6 +91,10 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
+#: Marts that are written or read at a time.
+AT_ONCE = 4
+
+
 class PublishError(RuntimeError):
     pass
 
@@ -103,15 +113,18 @@ def publish(marts: dict[str, DataFrame], root: str, clusters: dict[str, list[str
     """Writes every mart to a new snapshot folder, checks what was written, and only then points the manifest at it."""
     spark = next(iter(marts.values())).sparkSession
     snapshot = f"{root}/snapshot-{uuid.uuid4().hex}"
-    for name, df in marts.items():
-        retried(lambda df=df, name=name: write_clustered(df, f"{snapshot}/{name}", clusters.get(name, [])))
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        list(pool.map(lambda name: retried(lambda: write_clustered(marts[name], f"{snapshot}/{name}", clusters.get(name, []))), marts))
     opened = {name: spark.read.parquet(f"{snapshot}/{name}") for name in marts}
     if checks and (failed := checks(opened)):
         raise PublishError("; ".join(failed))
-    files = {}
-    for name, df in opened.items():
+    def entry(name: str) -> dict:
+        df = opened[name]
         row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
-        files[name] = {"path": f"{snapshot}/{name}", "rows": row.n, "sha256_12": hashlib.sha256(f"{row.n}:{row.h}".encode()).hexdigest()[:12]}
+        return {"path": f"{snapshot}/{name}", "rows": row.n, "sha256_12": hashlib.sha256(f"{row.n}:{row.h}".encode()).hexdigest()[:12]}
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        files = dict(zip(opened, pool.map(entry, opened), strict=True))
     manifest = {"generated_at": now or time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "snapshot": snapshot, "files": files}
     if "matches" in opened and "match_date" in opened["matches"].columns:
         row = opened["matches"].agg(F.min("match_date").alias("a"), F.max("match_date").alias("z"), F.count("*").alias("n")).first()
