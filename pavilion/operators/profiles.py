@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pavilion.functions.text import country_in, plain, team_contains
+from pavilion.sources.tables import StateStore
 
 #: Roles of the sheet by group and subgroup.
 ROLE_GROUPS = {
@@ -184,13 +187,43 @@ def coverage_report(people: DataFrame, matched: DataFrame, years: int = 3) -> Da
     return tagged.groupBy("segment").agg(F.count("*").alias("players"), F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("matched"))
 
 
-def registry_misses(deliveries: DataFrame, wickets: DataFrame, fielders: DataFrame | None = None, top: int = 50) -> DataFrame:
-    """Names without an id, by field, the most frequent first."""
-    fields = [(deliveries, "batter"), (deliveries, "bowler"), (deliveries, "non_striker"), (wickets, "player_out")]
-    fields += [(fielders, "fielder")] if fielders is not None else []
+#: Where a name of a ball, a wicket or a fielder stands, and what it is called in reports.
+NAMED = (("deliveries", "batter", "batter"), ("deliveries", "bowler", "bowler"), ("deliveries", "non_striker", "non-striker"), ("deliveries", "player_out", "dismissed batter"), ("wickets", "player_out", "dismissed batter"), ("wicket_fielders", "fielder", "fielder"))
+
+
+def registry_misses(store: dict[str, DataFrame], top: int = 50) -> DataFrame:
+    """Names without an id by table, field and match, the most frequent of each field first; tables without a field are passed over."""
     every = None
-    for df, name in fields:
-        own = df.where(F.col(name).isNotNull() & F.col(f"{name}_id").isNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n")).withColumn("field", F.lit(name))
-        every = own if every is None else every.unionByName(own)
-    order = Window.partitionBy("field").orderBy(F.desc("n"), "name")
-    return every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    for table, name, field in NAMED:
+        if table in store and {name, f"{name}_id"} <= set(store[table].columns):
+            own = store[table].where(F.col(name).isNotNull() & F.col(f"{name}_id").isNull()).groupBy("match_id", F.col(name).alias("name")).agg(F.count("*").alias("n"))
+            own = own.orderBy(F.desc("n"), "match_id", "name").limit(top).select(F.lit(table).alias("table"), F.lit(field).alias("field"), "match_id", "name", "n")
+            every = own if every is None else every.unionByName(own)
+    return every
+
+
+def new_alerts(current: DataFrame, state: StateStore, now: dt.datetime, name: str = "unmatched", days: int = 7) -> DataFrame:
+    """Whom to name in an alert now: ids of ``current`` that no alert has named, at most once in ``days``.
+
+    The first run takes everyone as known and names nobody. Ids that are resolved are forgotten, so they are new if they
+    come back; ids that a pause holds back stay new until an alert names them. The ids named so far are a table beside
+    the state, a new one each run, and the state points at it last.
+    """
+    spark, before = current.sparkSession, state.get(name, {})
+    ids = current.select("player_id").distinct()
+    table = f"{state.root}/{name}-{uuid.uuid4().hex}"
+    if not before:
+        ids.write.parquet(table)
+        state.put(name, {"alerted": table})
+        return ids.limit(0)
+    known = spark.read.parquet(before["alerted"]).join(ids, "player_id", "left_semi")
+    fresh = ids.join(known, "player_id", "left_anti")
+    last = before.get("last_alert_at")
+    due = last is None or now - dt.datetime.fromisoformat(last) >= dt.timedelta(days=days)
+    if not due or fresh.isEmpty():
+        known.write.parquet(table)
+        state.put(name, before | {"alerted": table})
+        return ids.limit(0)
+    known.withColumn("new", F.lit(False)).unionByName(fresh.withColumn("new", F.lit(True))).write.parquet(table)
+    state.put(name, {"alerted": table, "last_alert_at": now.isoformat()})
+    return spark.read.parquet(table).where("new").select("player_id")

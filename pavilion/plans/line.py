@@ -72,16 +72,19 @@ def allowed(m: Metric) -> bool:
     return m.kind in ("total", "rate", "percent") and m.source != "player_matches"
 
 
-def _rows(spec: Spec, marts: dict[str, DataFrame], players: list[str], mart: str | None = None) -> DataFrame:
+def _rows(spec: Spec, marts: dict[str, DataFrame], players: list[str] | None, mart: str | None = None) -> DataFrame:
     rows = scoped(spec, marts, mart)
     if spec.vs_active:
         from pavilion.plans.spec import VS_COLUMNS
 
         rows = rows.where(F.col(VS_COLUMNS[spec.vs.dim]) == spec.vs.value)
-    return rows.where(F.col(spec.id_column).isin(*players) if players else F.lit(False)).withColumns({"player_id": F.col(spec.id_column), "player_name": F.col(spec.name_column)})
+    if players is not None:
+        rows = rows.where(F.col(spec.id_column).isin(*players) if players else F.lit(False))
+    return rows.withColumns({"player_id": F.col(spec.id_column), "player_name": F.col(spec.name_column)})
 
 
-def line(spec: Spec, marts: dict[str, DataFrame], dim: str, key: str, players: list[str]) -> DataFrame:
+def line(spec: Spec, marts: dict[str, DataFrame], dim: str, key: str, players: list[str] | None) -> DataFrame:
+    """A metric of the players (all, if None) along a dimension."""
     if dim == "phase":
         return by_phase(spec, marts, key, players)
     mart = "matchup_batting" if dim == "vs_bowling" else spec.namespace
@@ -108,7 +111,7 @@ def _values(rows: DataFrame, m: Metric, order: Column) -> DataFrame:
     return rows.groupBy("player_id", "bucket").agg(F.max("player_name").alias("player_name"), order.cast("long").alias("bucket_ord"), m.expr().cast("double").alias("value"), sample.alias("sample")).select("player_id", "player_name", "bucket", "bucket_ord", "value", "sample")
 
 
-def by_phase(spec: Spec, marts: dict[str, DataFrame], key: str, players: list[str]) -> DataFrame:
+def by_phase(spec: Spec, marts: dict[str, DataFrame], key: str, players: list[str] | None) -> DataFrame:
     """A metric in each phase: computed side by side in one aggregate, then turned to rows."""
     family = "odi_" if spec.formats == ("50 Over",) else ""
     base = metric(spec.namespace, key)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pavilion.functions.metrics import metric, ratio
+from pavilion.functions.metrics import CATALOGUE, metric, ratio
 from pavilion.functions.rules import UNMAPPED
 from pavilion.plans.spec import Spec, scoped
 
@@ -32,6 +32,21 @@ def players(marts: dict[str, DataFrame], text: str, limit: int = 25) -> DataFram
     return hits.join(facts, "player_id").join(roles, "player_id", "left").orderBy("tier", F.desc("games"), "player_name", "player_id").limit(limit)
 
 
+def roster(spec: Spec, marts: dict[str, DataFrame], text: str = "", limit: int = 25) -> DataFrame:
+    """Players of a scope by part of their name, those with most innings first."""
+    rows = scoped(replace(spec, search=text.strip()), marts).groupBy(F.col(spec.id_column).alias("player_id"), F.col(spec.name_column).alias("player_name")).agg(F.count("*").alias("n"))
+    return rows.orderBy(F.desc("n"), "player_name", "player_id").limit(limit)
+
+
+def career(spec: Spec, marts: dict[str, DataFrame], text: str, limit: int = 20) -> DataFrame:
+    """Career totals of players by part of their name, with rates to two places; the most runs or wickets first."""
+    keys = {"batting": ("innings", "runs", "balls_faced", "average", "strike_rate", "fours", "sixes", "high_score"), "bowling": ("innings", "balls", "runs_conceded", "wickets", "average", "economy")}[spec.discipline]
+    rows = scoped(replace(spec, search=text.strip()), marts).groupBy(F.col(spec.id_column).alias("player_id"), F.col(spec.name_column).alias("player_name"))
+    values = [F.round(m.expr(), 2).alias(m.key) if m.kind == "rate" else m.expr().alias(m.key) for m in (metric(spec.discipline, k) for k in keys)]
+    extra = F.sum("dismissed").alias("dismissals") if spec.discipline == "batting" else F.max("wickets").alias("best")
+    return rows.agg(*values, extra).orderBy(F.desc("runs" if spec.discipline == "batting" else "wickets"), "player_id", "player_name").limit(limit)
+
+
 def options(marts: dict[str, DataFrame], column: str, gender: str, text: str = "") -> DataFrame:
     """Values of ``column`` (``team``, ``event_name`` or ``venue``) with matches and the latest date, most relevant first."""
     rows = marts["matches"].where(F.col("gender") == gender)
@@ -102,6 +117,22 @@ def player_rows(spec: Spec, marts: dict[str, DataFrame], player: str, section: s
     return rows
 
 
+def profile(marts: dict[str, DataFrame], player: str) -> DataFrame:
+    """A player's profile: a row, or none."""
+    return marts["profiles"].where(F.col("player_id") == player)
+
+
+def gender_of(marts: dict[str, DataFrame], player: str) -> DataFrame:
+    """The gender of a player's latest match: a row, null for someone who never played."""
+    return marts["player_matches"].where(F.col("player_id") == player).agg(F.max_by("gender", F.struct("match_date", "match_id")).alias("gender"))
+
+
+def hands(rows: DataFrame) -> DataFrame:
+    """A bowler's record against each batting hand: every metric that sums over an innings' parts, most balls first."""
+    keys = [k for k, m in CATALOGUE["matchup_bowling"].items() if m.form in ("sum", "ratio", "innings")]
+    return rows.groupBy("batting_hand").agg(*[metric("matchup_bowling", k).expr().alias(k) for k in keys]).orderBy(F.desc("balls"), "batting_hand")
+
+
 def core(rows: DataFrame, namespace: str, keys: list[str]) -> DataFrame:
     """One row, whatever there is."""
     return rows.agg(*[metric(namespace, k).expr().alias(k) for k in keys])

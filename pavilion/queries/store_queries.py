@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pavilion.functions import text
@@ -12,7 +12,7 @@ from pavilion.operators import gates, marts, profiles, summaries
 from pavilion.queries import longs, mart_tables, query
 from pavilion.queries.oracle_marts import sql
 from pavilion.sources import analogue, documents
-from pavilion.sources.tables import insert_new, shared_folder
+from pavilion.sources.tables import StateStore, insert_new, shared_folder
 from pavilion.streaming import ledger as ledgers
 
 BALL = "match_id, innings_number, over_number, ball_index"
@@ -127,6 +127,24 @@ def _(s):
     return summaries.bowlers(s)
 
 
+_REL = ("sr", "dpt", "bpb", "nbsr")
+
+
+@on_store("team_relative", f"SELECT match_id, innings_number, batter, {', '.join(f'team_rel_{k}' for k in _REL)} FROM ({_BATTERS}) z")
+def _(s):
+    return summaries.batters(s).select("match_id", "innings_number", "batter", *[f"team_rel_{k}" for k in _REL])
+
+
+@on_store("window_relative", f"SELECT match_id, innings_number, batter, entry, exit, {', '.join(f'window_rel_{k}' for k in _REL)} FROM ({_BATTERS}) z")
+def _(s):
+    return summaries.batters(s).select("match_id", "innings_number", "batter", "entry", "exit", *[f"window_rel_{k}" for k in _REL])
+
+
+@on_store("overs_notation", sql(f"SELECT match_id, {_b('innings_number')} AS innings_number, bowler, balls, overs, first_over, last_over, economy FROM {_roll('')} z", *_OVERS))
+def _(s):
+    return summaries.bowlers(s).select("match_id", "innings_number", "bowler", "balls", "overs", "first_over", "last_over", "economy")
+
+
 # ---- profiles -------------------------------------------------------------------------------------------------------
 def _people(s) -> DataFrame:
     return profiles.universe(s["match_players"], s["matches"], s["players"])
@@ -212,9 +230,32 @@ def _(s):
     return profiles.review_candidates(_people(s), s["sheet"])
 
 
-@on_store("registry_miss_report", sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, name) AS place FROM (SELECT batter AS name, count(*) AS n, 'batter' AS field FROM a_deliveries WHERE batter IS NOT NULL AND batter_id IS NULL GROUP BY 1) q) z WHERE place <= 50"))
+@on_store("registry_miss_report", sql("SELECT 'deliveries' AS \"table\", 'batter' AS field, match_id, batter AS name, count(*) AS n FROM a_deliveries WHERE batter IS NOT NULL AND batter_id IS NULL GROUP BY ALL ORDER BY n DESC, match_id, name LIMIT 50"))
+def _(s):
+    return profiles.registry_misses(s)
+
+
+@on_store("fuzzy_tiers", sql("""SELECT player_id, sheet_player_id, CAST(min(k) AS BIGINT) AS rank FROM (
+ SELECT u.player_id, s.sheet_player_id, 1 AS k FROM _uni u JOIN a_sheet s ON lower(s.batting_name) = lower(u.player_name)
+ UNION ALL SELECT u.player_id, s.sheet_player_id, CASE WHEN left(u.player_name, 1) = left(s.batting_name, 1) THEN 2 ELSE 3 END FROM (SELECT player_id, player_name, unnest(intl_teams) AS team FROM _uni) u
+ JOIN a_sheet s ON split_part(s.batting_name, ' ', 2) = split_part(u.player_name, ' ', 2) AND lower(s.country_name) = lower(u.team)) q GROUP BY 1, 2""", _UNI))
 def _(s):
-    return profiles.registry_misses(s["deliveries"], s["wickets"])
+    return profiles.fuzzy(_people(s), s["sheet"])
+
+
+@query("unmatched_alerts", sql("SELECT player_id, 1::BIGINT AS round FROM _open WHERE is_intl = 0 UNION ALL SELECT player_id, 4::BIGINT FROM _open WHERE is_intl = 0", _UNI, _AUTO, "_open AS (SELECT player_id, is_intl FROM _uni WHERE player_id NOT IN (SELECT player_id FROM _auto) AND player_id NOT IN (SELECT player_id FROM a_profiles))"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first run with internationals only, everyone a day later, internationals again (the others are resolved), everyone within the week's pause, and after it."""
+    import datetime as dt
+    import uuid
+
+    s = analogue.store(spark, sf_dir)
+    root = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    profiles.unmatched(_people(s), _auto(s), s["profiles"]).select("player_id", "is_intl").write.parquet(f"{root}/open")
+    everyone, state = spark.read.parquet(f"{root}/open"), StateStore(spark, root)
+    rounds = [(0, everyone.where("is_intl = 1")), (1, everyone), (3, everyone.where("is_intl = 1")), (4, everyone), (9, everyone)]
+    named = [profiles.new_alerts(rows, state, dt.datetime(2024, 1, 1) + dt.timedelta(days=day)).withColumn("round", F.lit(k).cast("long")) for k, (day, rows) in enumerate(rounds)]
+    return reduce(DataFrame.unionByName, named)
 
 
 # ---- gates ----------------------------------------------------------------------------------------------------------
@@ -250,24 +291,42 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- documents ------------------------------------------------------------------------------------------------------
+def _fielders(kind: Column) -> Column:
+    """One catches, two run out; every other way needs none."""
+    one = lambda k, sub: F.struct(F.concat(F.lit(f"Fielder {k} "), kind).alias("name"), sub.alias("substitute"))
+    no = F.lit(None).cast("boolean")
+    return F.when(kind == "caught", F.array(one(1, no))).when(kind == "run out", F.array(one(1, no), one(2, F.lit(True))))
+
+
 def scorecards(s: dict[str, DataFrame]) -> DataFrame:
     """The store as documents: match_id and JSON text. One match is one document, so its balls are collected in its row."""
     wickets = s["wickets"].groupBy(*marts.BALL).agg(F.array_sort(F.collect_list(F.struct("wicket_index", "player_out", "kind"))).alias("w"))
     balls = s["deliveries"].join(wickets, marts.BALL, "left")
     runs = F.struct(F.col("runs_batter").alias("batter"), (F.coalesce("wides", F.lit(0)) + F.coalesce("noballs", F.lit(0)) + F.coalesce("byes", F.lit(0)) + F.coalesce("legbyes", F.lit(0))).alias("extras"), F.col("is_not_boundary").alias("non_boundary"))
-    ball = F.struct("batter", "bowler", "non_striker", runs.alias("runs"), F.struct("wides", "noballs", "byes", "legbyes").alias("extras"), F.transform("w", lambda w: F.struct(w["player_out"].alias("player_out"), w["kind"].alias("kind"))).alias("wickets"))
+    ball = F.struct("batter", "bowler", "non_striker", runs.alias("runs"), F.struct("wides", "noballs", "byes", "legbyes").alias("extras"), F.transform("w", lambda w: F.struct(w["player_out"].alias("player_out"), w["kind"].alias("kind"), _fielders(w["kind"]).alias("fielders"))).alias("wickets"))
     overs = balls.groupBy("match_id", "innings_number", "over_number").agg(F.array_sort(F.collect_list(F.struct("ball_index", ball.alias("d")))).alias("b"))
     overs = overs.select("match_id", "innings_number", F.struct(F.col("over_number").alias("over"), F.col("b.d").alias("deliveries")).alias("o"))
-    innings = overs.groupBy("match_id", "innings_number").agg(F.array_sort(F.collect_list("o"), lambda a, b: a["over"] - b["over"]).alias("overs")).join(s["innings"], ["match_id", "innings_number"])
-    innings = innings.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("innings_number", F.struct(F.col("batting_team").alias("team"), "super_over", "overs").alias("i"))), lambda a, b: a["innings_number"] - b["innings_number"]).alias("x"))
-    m = s["matches"]
-    info = F.struct("match_type", "gender", "venue", "city", "team_type", "balls_per_over", F.array(F.col("match_date_1").cast("string")).alias("dates"), F.array("team_1", "team_2").alias("teams"), F.year("match_date_1").cast("string").alias("season"), F.struct(F.col("event_name").alias("name")).alias("event"), F.struct("winner", F.col("result_type").alias("result")).alias("outcome"))
+    innings = overs.groupBy("match_id", "innings_number").agg(F.array_sort(F.collect_list("o"), lambda a, b: a["over"] - b["over"]).alias("overs")).join(s["innings"], ["match_id", "innings_number"]).join(s["matches"].select("match_id", "n", "match_type"), "match_id")
+    powerplay = lambda a, z, kind: F.struct(F.lit(a).alias("from"), F.lit(z).alias("to"), F.lit(kind).alias("type"))
+    powerplays = F.when(F.col("match_type") == "T20", F.array(powerplay(0.1, 5.6, "mandatory"))).when(F.col("match_type") == "ODI", F.array(powerplay(0.1, 9.6, "mandatory"), powerplay(35.1, 39.6, "batting")))
+    innings = innings.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("innings_number", F.struct(F.col("batting_team").alias("team"), "super_over", F.when((F.col("n") % 5 == 0) & (F.col("innings_number") == 0), True).alias("declared"), powerplays.alias("powerplays"), "overs").alias("i"))), lambda a, b: a["innings_number"] - b["innings_number"]).alias("x"))
+    # Two elevens a match; the registry lacks some of them.
+    named = s["match_players"].groupBy("match_id", "team").agg(F.array_sort(F.collect_list(F.struct("player_name", "player_id"))).alias("p")).groupBy("match_id").agg(F.collect_list(F.struct("team", "p")).alias("t"))
+    known = F.filter(F.flatten("t.p"), lambda p: ~p["player_name"].endswith("9"))
+    named = named.select("match_id", F.map_from_entries(F.transform("t", lambda t: F.struct(t["team"], t["p"]["player_name"]))).alias("players"), F.map_from_entries(known).alias("people"))
+    person = lambda k: F.concat(F.lit("Official "), ((F.col("n") + k) % 23).cast("string"))
+    officials = F.map_from_entries(F.array_compact(F.array(F.struct(F.lit("umpires"), F.array(person(0), person(7))), F.when(F.col("n") % 3 == 0, F.struct(F.lit("match_referees"), F.array(person(11)))))))
+    m = s["matches"].join(named, "match_id").withColumn("officials", officials)
+    info = F.struct("match_type", "gender", "venue", "city", "team_type", "balls_per_over", F.transform(F.sequence(F.lit(0), (F.col("n") % 8).cast("int")), lambda k: F.date_add("match_date_1", k).cast("string")).alias("dates"), F.array("team_1", "team_2").alias("teams"), F.year("match_date_1").cast("string").alias("season"), F.struct(F.col("event_name").alias("name"), (F.col("n") % 4).alias("group")).alias("event"), F.struct(F.col("team_1").alias("winner"), F.when(F.col("n") % 9 == 0, True).alias("uncontested")).alias("toss"), "players", "officials", F.struct("people").alias("registry"), F.struct("winner", F.col("result_type").alias("result")).alias("outcome"))
     return m.join(innings, "match_id").select("match_id", F.to_json(F.struct(info.alias("info"), F.col("x.i").alias("innings"))).alias("json"))
 
 
+def _documents(s: dict[str, DataFrame]) -> DataFrame:
+    return scorecards(s).select("match_id", F.concat("match_id", F.lit(".json")).alias("file_name"), F.from_json("json", documents.schema()).alias("d")).select("match_id", "file_name", "d.*")
+
+
 def _parsed(s: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    docs = scorecards(s).select("match_id", F.concat("match_id", F.lit(".json")).alias("file_name"), F.from_json("json", documents.schema()).alias("d")).select("match_id", "file_name", "d.*")
-    return documents.tables(docs)
+    return documents.tables(_documents(s))
 
 
 @on_store("json_flatten", sql(f"""SELECT d.match_id, {', '.join(f"{_b('d.' + c)} AS {c}" for c in ('innings_number', 'over_number', 'ball_index', 'runs_batter', 'wides', 'noballs', 'byes', 'legbyes'))}, d.batter, d.bowler, d.non_striker, d.is_not_boundary, {_b('coalesce(w.n, 0)')} AS wicket_count, w.kind AS wicket_kind, w.player_out
@@ -286,6 +345,62 @@ def _(s):
     return _parsed(s)["wickets"].select(*marts.BALL, "wicket_index", "player_out", "kind")
 
 
+_DOCS = "match_id IN (SELECT match_id FROM a_innings)"
+_UMPIRED = f"""SELECT match_id, 'umpires' AS role, 'Official ' || (n % 23) AS official_name FROM a_matches WHERE {_DOCS} UNION ALL SELECT match_id, 'umpires', 'Official ' || ((n + 7) % 23) FROM a_matches WHERE {_DOCS}
+ UNION ALL SELECT match_id, 'match_referees', 'Official ' || ((n + 11) % 23) FROM a_matches WHERE n % 3 = 0 AND {_DOCS}"""
+
+
+@on_store("json_match_players", sql(f"SELECT match_id, team, player_name, player_id FROM a_match_players WHERE player_name NOT LIKE '%9' AND {_DOCS}"))
+def _(s):
+    return _parsed(s)["match_players"]
+
+
+@on_store("json_registry", sql(f"SELECT DISTINCT player_id, player_name FROM a_match_players WHERE player_name NOT LIKE '%9' AND {_DOCS}"))
+def _(s):
+    return _parsed(s)["player_registry"]
+
+
+@on_store("json_officials", sql(_UMPIRED))
+def _(s):
+    return _parsed(s)["officials"]
+
+
+@on_store("official_numbers", sql(f"SELECT 'off_' || lpad(CAST(row_number() OVER (ORDER BY match_id, role, official_name) AS VARCHAR), 6, '0') AS official_id, official_name FROM (SELECT *, row_number() OVER (PARTITION BY official_name ORDER BY match_id, role) AS k FROM ({_UMPIRED}) u) q WHERE k = 1"))
+def _(s):
+    return documents.official_ids(_parsed(s)["officials"])
+
+
+@on_store("json_powerplays", sql("""SELECT i.match_id, CAST(i.innings_number AS BIGINT) AS innings_number, p.k AS powerplay_index, p.a AS first_ball, p.z AS last_ball, p.kind FROM a_innings i JOIN a_matches m USING (match_id)
+ JOIN (VALUES (0::BIGINT, 'T20', '0.1', '5.6', 'mandatory'), (0, 'ODI', '0.1', '9.6', 'mandatory'), (1, 'ODI', '35.1', '39.6', 'batting')) p(k, t, a, z, kind) ON p.t = m.match_type"""))
+def _(s):
+    return _parsed(s)["powerplays"].select("match_id", "innings_number", "powerplay_index", F.col("from").cast("string").alias("first_ball"), F.col("to").cast("string").alias("last_ball"), F.col("type").alias("kind"))
+
+
+@on_store("json_fielders", sql(f"SELECT match_id, {', '.join(f'{_b(c)} AS {c}' for c in ('innings_number', 'over_number', 'ball_index', 'wicket_index'))}, {_b('k')} AS fielder_index, 'Fielder ' || (k + 1) || ' ' || kind AS fielder, k = 1 AS substitute FROM a_wickets JOIN (VALUES (0), (1)) v(k) ON kind = 'run out' OR (kind = 'caught' AND k = 0)"))
+def _(s):
+    return _parsed(s)["wicket_fielders"].drop("fielder_id")
+
+
+@on_store("json_dates", sql(f"SELECT match_id, {', '.join(f'CASE WHEN n % 8 >= {k} THEN match_date_1 + {k} END AS match_date_{k + 1}' for k in range(1, 6))}, CAST(greatest(n % 8 - 5, 0) AS BIGINT) AS beyond, CASE WHEN n % 8 > 5 THEN match_date_1 + n % 8 END AS last_beyond FROM a_matches WHERE {_DOCS}"))
+def _(s):
+    """Up to six dates in a match's row; further ones are rows of their own."""
+    t = _parsed(s)
+    beyond = t["match_dates_overflow"].groupBy("match_id").agg(F.count("*").alias("beyond"), F.max("match_date").alias("last_beyond"))
+    return t["matches"].select("match_id", *[f"match_date_{k}" for k in range(2, 7)]).join(beyond, "match_id", "left").fillna(0, "beyond")
+
+
+@on_store("json_defaults", sql(f"SELECT match_id, CAST(i.innings_number AS BIGINT) AS innings_number, n % 5 = 0 AND i.innings_number = 0 AS declared, FALSE AS forfeited, coalesce(i.super_over, FALSE) AS super_over, n % 9 = 0 AS toss_uncontested, CAST(n % 4 AS VARCHAR) AS event_group FROM a_innings i JOIN a_matches m USING (match_id)"))
+def _(s):
+    """Flags that a document leaves out are false; numbers that name something are text."""
+    t = _parsed(s)
+    return t["innings"].select("match_id", "innings_number", "declared", "forfeited", "super_over").join(t["matches"].select("match_id", "toss_uncontested", "event_group"), "match_id")
+
+
+@on_store("json_team_misses", sql(f"SELECT match_id, team, player_name FROM a_match_players WHERE player_name LIKE '%9' AND {_DOCS}"))
+def _(s):
+    return documents.team_misses(_documents(s))
+
+
 #: A season for each order: a year, two, one with blanks, and three forms that are none.
 _SEASONS = """SELECT DISTINCT CASE n WHEN 0 THEN y WHEN 1 THEN y || '/' || z WHEN 2 THEN ' ' || y || ' ' WHEN 3 THEN z WHEN 4 THEN y || '-' || z ELSE '' END AS season
  FROM (SELECT o_orderkey % 6 AS n, CAST(year(o_orderdate) + 1 AS STRING) AS y, substr(CAST(year(o_orderdate) + 2 AS STRING), 3, 2) AS z FROM {orders}) o"""
