@@ -48,12 +48,16 @@ def _publish(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-def mart_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The marts of a folder of relational tables: built, checked by every gate and published once a session, then read."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _published:
         _published[key] = _publish(spark, sf_dir)
-    return Catalog.open(spark, _published[key]).tables
+    return Catalog.open(spark, _published[key])
+
+
+def mart_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return catalog(spark, sf_dir).tables
 
 
 def on_marts(name: str, oracle: str | None = None):

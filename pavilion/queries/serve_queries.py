@@ -20,52 +20,52 @@ BAT = Spec(columns=("innings", "runs", "balls_faced", "average", "strike_rate",
 BOWL = Spec(discipline="bowling", columns=("innings", "wickets", "average", "economy", "best"), sort="wickets")
 
 
-def _r(num: str, scale: str, den: str) -> str:
+def rate_sql(num: str, scale: str, den: str) -> str:
     return f"CAST(sum({num}) AS DOUBLE) * {scale} / NULLIF(CAST(sum({den}) AS DOUBLE), 0)"
 
 
-def _b(value: str) -> str:
+def whole(value: str) -> str:
     return f"CAST({value} AS BIGINT)"
 
 
-_BAT_COLS = f"""count(*) AS innings, {_b('sum(runs)')} AS runs, {_b('sum(balls_faced)')} AS balls_faced, {_r('runs', '1.0', 'dismissed')} AS average, {_r('runs', '100.0', 'balls_faced')} AS strike_rate, max(runs) AS high_score"""
+_BAT_COLS = f"""count(*) AS innings, {whole('sum(runs)')} AS runs, {whole('sum(balls_faced)')} AS balls_faced, {rate_sql('runs', '1.0', 'dismissed')} AS average, {rate_sql('runs', '100.0', 'balls_faced')} AS strike_rate, max(runs) AS high_score"""
 _BAT_ID, _BOWL_ID = "batter_id AS player_id, batter_name AS player_name", "bowler_id AS player_id, bowler_name AS player_name"
 _RANK = "wickets * 1000 - runs_conceded"
-_BOWL_COLS = f"""count(*) AS innings, {_b('sum(wickets)')} AS wickets, {_r('runs_conceded', '1.0', 'wickets')} AS average, {_r('runs_conceded', '6.0', 'balls')} AS economy,
- arg_max(CAST(wickets AS VARCHAR) || '-' || CAST(runs_conceded AS VARCHAR), {_RANK}) AS best, {_b(f'max({_RANK})')} AS best__sort"""
+_BOWL_COLS = f"""count(*) AS innings, {whole('sum(wickets)')} AS wickets, {rate_sql('runs_conceded', '1.0', 'wickets')} AS average, {rate_sql('runs_conceded', '6.0', 'balls')} AS economy,
+ arg_max(CAST(wickets AS VARCHAR) || '-' || CAST(runs_conceded AS VARCHAR), {_RANK}) AS best, {whole(f'max({_RANK})')} AS best__sort"""
 
 
-def _lb(where: str = MEN_T20, having: str = "TRUE", cols: str = _BAT_COLS, ident: str = _BAT_ID, mart: str = "batting") -> str:
+def board_sql(where: str = MEN_T20, having: str = "TRUE", cols: str = _BAT_COLS, ident: str = _BAT_ID, mart: str = "batting") -> str:
     return sql(f"SELECT {ident}, {cols} FROM {mart} WHERE {where} GROUP BY 1, 2 HAVING {having}")
 
 
 # ---- leaderboards ---------------------------------------------------------------------------------------------------
-@on_marts("leaderboard_core", _lb(f"{MEN_T20} AND match_date >= DATE '1996-01-01' AND match_date < DATE '2000-07-01'"))
+@on_marts("leaderboard_core", board_sql(f"{MEN_T20} AND match_date >= DATE '1996-01-01' AND match_date < DATE '2000-07-01'"))
 def _(m: Marts):
     return leaderboard(replace(BAT, date_from="1996-01-01", date_to="2000-06"), m)
 
 
-@on_marts("leaderboard_bowling", _lb(cols=_BOWL_COLS, ident=_BOWL_ID, mart="bowling"))
+@on_marts("leaderboard_bowling", board_sql(cols=_BOWL_COLS, ident=_BOWL_ID, mart="bowling"))
 def _(m: Marts):
     return leaderboard(BOWL, m)
 
 
-@on_marts("leaderboard_women_odi", _lb("gender = 'female' AND match_type IN ('ODI', 'ODM') AND team_type = 'club'"))
+@on_marts("leaderboard_women_odi", board_sql("gender = 'female' AND match_type IN ('ODI', 'ODM') AND team_type = 'club'"))
 def _(m: Marts):
     return leaderboard(replace(BAT, gender="female", formats=("50 Over",), team_type="club"), m)
 
 
-@on_marts("leaderboard_conditions", _lb(having="sum(runs) >= 60 AND CAST(sum(runs) AS DOUBLE) * 100.0 / NULLIF(sum(balls_faced), 0) <= 200 AND CAST(sum(runs) AS DOUBLE) * 100.0 / NULLIF(sum(balls_faced), 0) <> 0"))
+@on_marts("leaderboard_conditions", board_sql(having="sum(runs) >= 60 AND CAST(sum(runs) AS DOUBLE) * 100.0 / NULLIF(sum(balls_faced), 0) <= 200 AND CAST(sum(runs) AS DOUBLE) * 100.0 / NULLIF(sum(balls_faced), 0) <> 0"))
 def _(m: Marts):
     return leaderboard(replace(BAT, groups=((Condition("runs", "gte", 60), Condition("strike_rate", "lte", 200), Condition("average", "gte")),)), m)
 
 
-@on_marts("leaderboard_between_or_groups", _lb(having="(sum(runs) BETWEEN 40 AND 90 AND count(*) >= 2) OR (max(runs) = 30)"))
+@on_marts("leaderboard_between_or_groups", board_sql(having="(sum(runs) BETWEEN 40 AND 90 AND count(*) >= 2) OR (max(runs) = 30)"))
 def _(m: Marts):
     return leaderboard(replace(BAT, groups=((Condition("runs", "between", 90, 40), Condition("innings", "gte", 2)), (Condition("high_score", "eq", 30),))), m)
 
 
-@on_marts("best_figures_condition", _lb(cols=_BOWL_COLS, ident=_BOWL_ID, mart="bowling", having=f"max({_RANK}) >= 2 * 1000 - 20"))
+@on_marts("best_figures_condition", board_sql(cols=_BOWL_COLS, ident=_BOWL_ID, mart="bowling", having=f"max({_RANK}) >= 2 * 1000 - 20"))
 def _(m: Marts):
     return leaderboard(replace(BOWL, groups=((Condition("best", wickets=2, runs=20),),)), m)
 
@@ -80,22 +80,22 @@ def _(m: Marts):
     return leaderboard(replace(BAT, opposition=("Team 1", "Team 2", "Team 3"), groups=((Condition("runs", "gte", 30),),), pins=_PINS), m)
 
 
-@on_marts("matches_side_join", sql(f"SELECT b.*, p.matches FROM (SELECT {_BAT_ID}, {_b('sum(runs)')} AS runs FROM batting WHERE {MEN_T20} GROUP BY 1, 2) b LEFT JOIN (SELECT player_id, count(DISTINCT match_id) AS matches FROM player_matches WHERE {MEN_T20} GROUP BY 1) p USING (player_id)"))
+@on_marts("matches_side_join", sql(f"SELECT b.*, p.matches FROM (SELECT {_BAT_ID}, {whole('sum(runs)')} AS runs FROM batting WHERE {MEN_T20} GROUP BY 1, 2) b LEFT JOIN (SELECT player_id, count(DISTINCT match_id) AS matches FROM player_matches WHERE {MEN_T20} GROUP BY 1) p USING (player_id)"))
 def _(m: Marts):
     return leaderboard(replace(BAT, columns=("matches", "runs")), m)
 
 
-@on_marts("matches_over_innings", sql(f"SELECT {_BAT_ID}, {_b('sum(runs)')} AS runs, count(DISTINCT match_id) AS matches FROM batting WHERE {MEN_T20} AND batting_position IN (1, 2, 3) GROUP BY 1, 2"))
+@on_marts("matches_over_innings", sql(f"SELECT {_BAT_ID}, {whole('sum(runs)')} AS runs, count(DISTINCT match_id) AS matches FROM batting WHERE {MEN_T20} AND batting_position IN (1, 2, 3) GROUP BY 1, 2"))
 def _(m: Marts):
     return leaderboard(replace(BAT, columns=("matches", "runs"), positions=(1, "2", 3.0, "x", 4.5)), m)
 
 
-@on_marts("event_venue_semi", _lb(f"{MEN_T20} AND match_id IN (SELECT match_id FROM matches WHERE gender = 'male' AND event_name IN ('Event 1', 'Event 2', 'Event 3', 'Event 4', 'Event 5') AND venue <> 'Venue 3' AND venue IN ('Venue 1', 'Venue 2', 'Venue 4', 'Venue 5', 'Venue 6', 'Venue 7', 'Venue 8', 'Venue 9'))"))
+@on_marts("event_venue_semi", board_sql(f"{MEN_T20} AND match_id IN (SELECT match_id FROM matches WHERE gender = 'male' AND event_name IN ('Event 1', 'Event 2', 'Event 3', 'Event 4', 'Event 5') AND venue <> 'Venue 3' AND venue IN ('Venue 1', 'Venue 2', 'Venue 4', 'Venue 5', 'Venue 6', 'Venue 7', 'Venue 8', 'Venue 9'))"))
 def _(m: Marts):
     return leaderboard(replace(BAT, events=tuple(f"Event {k}" for k in range(1, 6)), venues=tuple(f"Venue {k}" for k in (1, 2, 4, 5, 6, 7, 8, 9))), m)
 
 
-@on_marts("profile_semi_join", _lb(f"{MEN_T20} AND batter_id IN (SELECT player_id FROM profiles WHERE role_group IN ('Batter', 'Allrounder') AND batting_style = 'Right-hand bat' AND (list_contains(string_split(teams_played_for, '|'), 'Club 1') OR list_contains(string_split(teams_played_for, '|'), 'Team 4')))"))
+@on_marts("profile_semi_join", board_sql(f"{MEN_T20} AND batter_id IN (SELECT player_id FROM profiles WHERE role_group IN ('Batter', 'Allrounder') AND batting_style = 'Right-hand bat' AND (list_contains(string_split(teams_played_for, '|'), 'Club 1') OR list_contains(string_split(teams_played_for, '|'), 'Team 4')))"))
 def _(m: Marts):
     return leaderboard(replace(BAT, role_groups=("Batter", "Allrounder"), hands=("Right-hand bat",), played_for=("Club 1", "Team 4")), m)
 
@@ -108,12 +108,12 @@ def _(m: Marts):
     return regular_position(BAT, m)
 
 
-@on_marts("modal_position_filter", _lb(f"{MEN_T20} AND batter_id IN (SELECT batter_id FROM ({_MODE}) z WHERE r_pos IN (1, 2, 5))"))
+@on_marts("modal_position_filter", board_sql(f"{MEN_T20} AND batter_id IN (SELECT batter_id FROM ({_MODE}) z WHERE r_pos IN (1, 2, 5))"))
 def _(m: Marts):
     return leaderboard(replace(BAT, regular_positions=(1, 2, 5)), m)
 
 
-@on_marts("modal_position_column", sql(f"SELECT b.*, z.r_pos FROM (SELECT {_BAT_ID}, {_b('sum(runs)')} AS runs FROM batting WHERE {MEN_T20} GROUP BY 1, 2) b LEFT JOIN ({_MODE}) z ON z.batter_id = b.player_id"))
+@on_marts("modal_position_column", sql(f"SELECT b.*, z.r_pos FROM (SELECT {_BAT_ID}, {whole('sum(runs)')} AS runs FROM batting WHERE {MEN_T20} GROUP BY 1, 2) b LEFT JOIN ({_MODE}) z ON z.batter_id = b.player_id"))
 def _(m: Marts):
     return leaderboard(replace(BAT, columns=("runs", "r_pos")), m)
 
@@ -123,23 +123,23 @@ def _(m: Marts):
     return grouped(replace(BAT, formats=()), m).agg(F.count("*").alias("n"))
 
 
-@on_marts("name_search", _lb(f"{MEN_T20} AND contains(lower(batter_name), '_1%') OR ({MEN_T20} AND contains(lower(batter_name), 'er 1'))"))
+@on_marts("name_search", board_sql(f"{MEN_T20} AND contains(lower(batter_name), '_1%') OR ({MEN_T20} AND contains(lower(batter_name), 'er 1'))"))
 def _(m: Marts):
     special = grouped(replace(BAT, search="_1%"), m)
     return special.unionByName(grouped(replace(BAT, search="ER 1"), m))
 
 
-def _metric_sql(ns: str) -> str | None:
-    """Every metric of a plain namespace that is an aggregate of its own."""
+def metric_sql(ns: str, keys: tuple[str, ...] | None = None) -> str:
+    """Every metric of a namespace (or those of ``keys``) that is an aggregate of its own."""
     out = []
-    for k, m in CATALOGUE[ns].items():
+    for k, m in ((k, m) for k, m in CATALOGUE[ns].items() if keys is None or k in keys):
         match m.form:
             case "sum":
-                out.append(f"{_b('sum(' + '+'.join(m.num) + ')')} AS {k}")
+                out.append(f"{whole('sum(' + '+'.join(m.num) + ')')} AS {k}")
             case "max":
                 out.append(f"max({m.num[0]}) AS {k}")
             case "ratio":
-                out.append(f"{_r('+'.join(m.num), str(m.scale), '+'.join(m.den))} AS {k}")
+                out.append(f"{rate_sql('+'.join(m.num), str(m.scale), '+'.join(m.den))} AS {k}")
             case "per_innings":
                 out.append(f"CAST(sum({m.num[0]}) AS DOUBLE) * {m.scale} / count(*) AS {k}")
             case "matches":
@@ -149,7 +149,7 @@ def _metric_sql(ns: str) -> str | None:
             case "not_out":
                 out.append(f"CAST(sum(CASE WHEN dismissed = 0 THEN 1 ELSE 0 END) AS DOUBLE) * 100.0 / count(*) AS {k}")
             case "kind":
-                out.append(f"{_b(f'''sum(CASE WHEN dismissal_kind = '{m.member}' THEN 1 ELSE 0 END)''')} AS {k}")
+                out.append(f"{whole(f'''sum(CASE WHEN dismissal_kind = '{m.member}' THEN 1 ELSE 0 END)''')} AS {k}")
             case "kind_share":
                 out.append(f"CAST(sum(CASE WHEN dismissal_kind = '{m.member}' THEN 1 ELSE 0 END) AS DOUBLE) * 100.0 / NULLIF(sum(dismissed), 0) AS {k}")
     return ", ".join(out)
@@ -157,14 +157,14 @@ def _metric_sql(ns: str) -> str | None:
 
 for _ns, _id in (("batting", "batter"), ("bowling", "bowler")):
 
-    @on_marts(f"metrics_{_ns}", sql(f"SELECT {_id}_id AS player_id, {_id}_name AS player_name, {_metric_sql(_ns)} FROM {_ns} WHERE {MEN_T20} GROUP BY 1, 2"))
+    @on_marts(f"metrics_{_ns}", sql(f"SELECT {_id}_id AS player_id, {_id}_name AS player_name, {metric_sql(_ns)} FROM {_ns} WHERE {MEN_T20} GROUP BY 1, 2"))
     def _(m: Marts, ns=_ns, who=_id):
         rows = m[ns].where("gender = 'male' and match_type in ('T20', 'IT20')")
         own = [F.col(f"{who}_id").alias("player_id"), F.col(f"{who}_name").alias("player_name")]
         return rows.groupBy(*own).agg(*[x.expr().alias(k) for k, x in CATALOGUE[ns].items() if x.form not in ("position", "best")])
 
 
-@on_marts("metrics_odi_phases", sql(f"SELECT {_BOWL_ID}, {', '.join(f'''{_r(f'odi_{p}_runs_conceded', '6.0', f'odi_{p}_balls')} AS odi_{p}_economy, {_b(f'sum(odi_{p}_wickets)')} AS odi_{p}_wickets''' for p in ('pp', 'mid', 'death'))} FROM bowling WHERE gender = 'male' AND match_type IN ('ODI', 'ODM') GROUP BY 1, 2"))
+@on_marts("metrics_odi_phases", sql(f"SELECT {_BOWL_ID}, {', '.join(f'''{rate_sql(f'odi_{p}_runs_conceded', '6.0', f'odi_{p}_balls')} AS odi_{p}_economy, {whole(f'sum(odi_{p}_wickets)')} AS odi_{p}_wickets''' for p in ('pp', 'mid', 'death'))} FROM bowling WHERE gender = 'male' AND match_type IN ('ODI', 'ODM') GROUP BY 1, 2"))
 def _(m: Marts):
     keys = tuple(f"odi_{p}_{x}" for p in ("pp", "mid", "death") for x in ("economy", "wickets"))
     return grouped(Spec(discipline="bowling", formats=("50 Over",), columns=keys, sort=keys[1]).pruned(), m)
@@ -177,11 +177,11 @@ _IN = "bowling_group = 'Spin'"
 
 def _vs_cols(inside: str) -> str:
     f = f" FILTER (WHERE {inside})"
-    return f"""count(DISTINCT match_id){f} AS matches, count(DISTINCT match_id || ':' || innings_number){f} AS innings, {_b('sum(balls_faced)' + f)} AS balls, {_b('sum(runs)' + f)} AS runs,
+    return f"""count(DISTINCT match_id){f} AS matches, count(DISTINCT match_id || ':' || innings_number){f} AS innings, {whole('sum(balls_faced)' + f)} AS balls, {whole('sum(runs)' + f)} AS runs,
  CAST(sum(runs){f} AS DOUBLE) * 100.0 / NULLIF(sum(balls_faced){f}, 0) AS strike_rate, CAST(sum(runs){f} AS DOUBLE) / NULLIF(sum(dismissals){f}, 0) AS average, CAST(sum(dots){f} AS DOUBLE) * 100.0 / NULLIF(sum(balls_faced){f}, 0) AS dot_pct"""
 
 
-_VS = f"""SELECT q.* EXCLUDE (_all, _known), {_b('sum(_all) OVER (PARTITION BY player_id)')} AS balls_in_scope, {_b('coalesce(sum(_known) OVER (PARTITION BY player_id), 0)')} AS balls_mapped
+_VS = f"""SELECT q.* EXCLUDE (_all, _known), {whole('sum(_all) OVER (PARTITION BY player_id)')} AS balls_in_scope, {whole('coalesce(sum(_known) OVER (PARTITION BY player_id), 0)')} AS balls_mapped
  FROM (SELECT {_BAT_ID}, {_vs_cols(_IN)}, sum(balls_faced) AS _all, sum(balls_faced) FILTER (WHERE bowling_group <> '(unmapped)') AS _known FROM matchup_batting WHERE {MEN_T20} GROUP BY 1, 2) q"""
 
 
@@ -203,7 +203,7 @@ def _(m: Marts):
 _HAND = f"SELECT bowler_id AS player_id, bowler_name AS player_name, count(DISTINCT match_id || ':' || innings_number) FILTER (WHERE batting_hand = 'Left-hand bat') AS innings, sum(balls) AS a, sum(balls) FILTER (WHERE batting_hand = 'Right-hand bat') AS r, sum(balls) FILTER (WHERE batting_hand = 'Left-hand bat') AS l, sum(balls) FILTER (WHERE batting_hand = '(unmapped)') AS u FROM matchup_bowling WHERE {MEN_T20} GROUP BY 1, 2"
 
 
-@on_marts("vs_composition", sql(f"""SELECT player_id, player_name, innings, {_b('ta')} AS balls_in_scope, {_b('coalesce(tr, 0) + coalesce(tl, 0)')} AS balls_mapped, CAST(coalesce(tr, 0) AS DOUBLE) * 100.0 / NULLIF(ta, 0) AS comp_rhb, CAST(coalesce(tl, 0) AS DOUBLE) * 100.0 / NULLIF(ta, 0) AS comp_lhb, CAST(coalesce(tu, 0) AS DOUBLE) * 100.0 / NULLIF(ta, 0) AS comp_uncat
+@on_marts("vs_composition", sql(f"""SELECT player_id, player_name, innings, {whole('ta')} AS balls_in_scope, {whole('coalesce(tr, 0) + coalesce(tl, 0)')} AS balls_mapped, CAST(coalesce(tr, 0) AS DOUBLE) * 100.0 / NULLIF(ta, 0) AS comp_rhb, CAST(coalesce(tl, 0) AS DOUBLE) * 100.0 / NULLIF(ta, 0) AS comp_lhb, CAST(coalesce(tu, 0) AS DOUBLE) * 100.0 / NULLIF(ta, 0) AS comp_uncat
  FROM (SELECT *, sum(a) OVER w AS ta, sum(r) OVER w AS tr, sum(l) OVER w AS tl, sum(u) OVER w AS tu FROM ({_HAND}) q WINDOW w AS (PARTITION BY player_id)) z WHERE innings >= 1"""))
 def _(m: Marts):
     return grouped(Spec(discipline="bowling", vs=Vs("hand", "Left-hand bat"), columns=("innings", "comp_rhb", "comp_lhb", "comp_uncat"), sort="innings"), m)
@@ -212,20 +212,20 @@ def _(m: Marts):
 _MET = "_met AS (SELECT bowler_id AS player_id, bowler_name AS player_name, count(DISTINCT match_id || ':' || innings_number) FILTER (WHERE batting_hand = 'Right-hand bat') AS innings, sum(balls) AS _all, sum(balls) FILTER (WHERE batting_hand <> '(unmapped)') AS _known FROM matchup_bowling WHERE " + MEN_T20 + " GROUP BY 1, 2)"
 
 
-@on_marts("vs_peak_best", sql(f"""SELECT q.player_id, q.player_name, q.innings, {_b('sum(_all) OVER (PARTITION BY q.player_id)')} AS balls_in_scope, {_b('coalesce(sum(_known) OVER (PARTITION BY q.player_id), 0)')} AS balls_mapped, p.best, p.best__sort FROM _met q
- LEFT JOIN (SELECT bowler_id AS player_id, arg_max(CAST(w AS VARCHAR) || '-' || CAST(r AS VARCHAR), w * 1000 - r) AS best, {_b('max(w * 1000 - r)')} AS best__sort FROM (SELECT bowler_id, match_id, innings_number, {_b('sum(wickets)')} AS w, {_b('sum(runs_conceded)')} AS r FROM matchup_bowling WHERE {MEN_T20} AND batting_hand = 'Right-hand bat' GROUP BY 1, 2, 3) x GROUP BY 1) p ON p.player_id = q.player_id
+@on_marts("vs_peak_best", sql(f"""SELECT q.player_id, q.player_name, q.innings, {whole('sum(_all) OVER (PARTITION BY q.player_id)')} AS balls_in_scope, {whole('coalesce(sum(_known) OVER (PARTITION BY q.player_id), 0)')} AS balls_mapped, p.best, p.best__sort FROM _met q
+ LEFT JOIN (SELECT bowler_id AS player_id, arg_max(CAST(w AS VARCHAR) || '-' || CAST(r AS VARCHAR), w * 1000 - r) AS best, {whole('max(w * 1000 - r)')} AS best__sort FROM (SELECT bowler_id, match_id, innings_number, {whole('sum(wickets)')} AS w, {whole('sum(runs_conceded)')} AS r FROM matchup_bowling WHERE {MEN_T20} AND batting_hand = 'Right-hand bat' GROUP BY 1, 2, 3) x GROUP BY 1) p ON p.player_id = q.player_id
  WHERE TRUE QUALIFY innings >= 1""", _MET))
 def _(m: Marts):
     return grouped(Spec(discipline="bowling", vs=Vs("hand", "Right-hand bat"), columns=("innings", "best"), sort="best"), m)
 
 
 @on_marts("vs_peak_high", sql(f"""SELECT z.player_id, z.player_name, z.innings, z.balls_in_scope, z.balls_mapped, p.high_score FROM ({_VS}) z
- LEFT JOIN (SELECT batter_id, {_b('max(r)')} AS high_score FROM (SELECT batter_id, match_id, innings_number, sum(runs) AS r FROM matchup_batting WHERE {MEN_T20} AND {_IN} GROUP BY 1, 2, 3) x GROUP BY 1) p ON p.batter_id = z.player_id WHERE innings >= 1"""))
+ LEFT JOIN (SELECT batter_id, {whole('max(r)')} AS high_score FROM (SELECT batter_id, match_id, innings_number, sum(runs) AS r FROM matchup_batting WHERE {MEN_T20} AND {_IN} GROUP BY 1, 2, 3) x GROUP BY 1) p ON p.batter_id = z.player_id WHERE innings >= 1"""))
 def _(m: Marts):
     return grouped(replace(SPIN, columns=("innings", "high_score"), sort="high_score"), m)
 
 
-@on_marts("matchup_coarse", sql(f"SELECT bowling_group, {_b('sum(balls_faced)')} AS balls, {_b('sum(runs)')} AS runs, {_r('runs', '1.0', 'dismissals')} AS average, {_r('runs', '100.0', 'balls_faced')} AS strike_rate FROM matchup_batting WHERE batter_id = 'p14' AND match_type IN ('T20', 'IT20') GROUP BY 1"))
+@on_marts("matchup_coarse", sql(f"SELECT bowling_group, {whole('sum(balls_faced)')} AS balls, {whole('sum(runs)')} AS runs, {rate_sql('runs', '1.0', 'dismissals')} AS average, {rate_sql('runs', '100.0', 'balls_faced')} AS strike_rate FROM matchup_batting WHERE batter_id = 'p14' AND match_type IN ('T20', 'IT20') GROUP BY 1"))
 def _(m: Marts):
     return search.matchups(search.player_rows(replace(BAT, gender=None), m, "p14", "matchups"), "batting", fine=False)
 
@@ -236,9 +236,9 @@ _IDS = "(" + ", ".join(f"'{p}'" for p in _ROSTER) + ")"
 _EPOCH = "CAST(datediff('day', DATE '1970-01-01', match_date) AS BIGINT)"
 
 
-def _line(bucket: str, order: str, source: str = "batting b", extra: str = "TRUE", value: str = _r("runs", "100.0", "balls_faced"), sample: str = "count(*)") -> str:
+def _line(bucket: str, order: str, source: str = "batting b", extra: str = "TRUE", value: str = rate_sql("runs", "100.0", "balls_faced"), sample: str = "count(*)") -> str:
     inner = f"SELECT *, {bucket} AS bucket FROM {source} WHERE {MEN_T20} AND batter_id IN {_IDS} AND {extra}"
-    return sql(f"SELECT batter_id AS player_id, max(batter_name) AS player_name, bucket, {_b(order)} AS bucket_ord, {value} AS value, {sample} AS sample FROM ({inner}) q WHERE bucket IS NOT NULL GROUP BY batter_id, bucket")
+    return sql(f"SELECT batter_id AS player_id, max(batter_name) AS player_name, bucket, {whole(order)} AS bucket_ord, {value} AS value, {sample} AS sample FROM ({inner}) q WHERE bucket IS NOT NULL GROUP BY batter_id, bucket")
 
 
 _WITH_MATCH = "(SELECT b.*, x.event_name, x.venue, x.winner, x.result_type FROM batting b JOIN matches x USING (match_id)) b"
@@ -255,7 +255,7 @@ _LINES = {
     "vs_bowling": _line("NULLIF(bowling_group, '(unmapped)')", "min(CASE WHEN bowling_group = 'Pace' THEN 0 ELSE 1 END)", "matchup_batting b", sample="count(DISTINCT match_id || ':' || innings_number)"),
     "innings": _line("CAST(row_number() OVER (PARTITION BY batter_id ORDER BY match_date, innings_number, match_id) AS VARCHAR)", "min(CAST(bucket AS BIGINT))"),
     "phase": sql(f"""SELECT player_id, player_name, sample, unnest(['pp', 'mid', 'death']) AS bucket, unnest([0::BIGINT, 1::BIGINT, 2::BIGINT]) AS bucket_ord, unnest([pp, mid, death]) AS value
- FROM (SELECT batter_id AS player_id, max(batter_name) AS player_name, count(*) AS sample, {', '.join(f"{_r(f'{p}_runs', '100.0', f'{p}_balls')} AS {p}" for p in ('pp', 'mid', 'death'))} FROM batting WHERE {MEN_T20} AND batter_id IN {_IDS} GROUP BY 1) q"""),
+ FROM (SELECT batter_id AS player_id, max(batter_name) AS player_name, count(*) AS sample, {', '.join(f"{rate_sql(f'{p}_runs', '100.0', f'{p}_balls')} AS {p}" for p in ('pp', 'mid', 'death'))} FROM batting WHERE {MEN_T20} AND batter_id IN {_IDS} GROUP BY 1) q"""),
 }
 for _dim, _text in _LINES.items():
     on_marts(f"line_{_dim}", _text)(lambda m, dim=_dim: line.line(BAT, m, dim, "strike_rate", _ROSTER))
@@ -263,7 +263,7 @@ for _dim, _text in _LINES.items():
 
 @on_marts("line_month_filled", sql(f"""SELECT s.player_id, s.player_name, strftime(s.m, '%Y%m') AS bucket, CAST(strftime(s.m, '%Y%m') AS BIGINT) AS bucket_ord, v.value, v.sample
  FROM (SELECT player_id, player_name, unnest(generate_series(a, z, INTERVAL 1 MONTH)) AS m FROM (SELECT batter_id AS player_id, max(batter_name) AS player_name, min(date_trunc('month', match_date)) AS a, max(date_trunc('month', match_date)) AS z FROM batting WHERE {MEN_T20} AND batter_id IN {_IDS} GROUP BY 1) q) s
- LEFT JOIN (SELECT batter_id AS player_id, year * 100 + month AS ym, {_r('runs', '100.0', 'balls_faced')} AS value, count(*) AS sample FROM batting WHERE {MEN_T20} AND batter_id IN {_IDS} GROUP BY 1, 2) v ON v.player_id = s.player_id AND v.ym = CAST(strftime(s.m, '%Y%m') AS BIGINT)"""))
+ LEFT JOIN (SELECT batter_id AS player_id, year * 100 + month AS ym, {rate_sql('runs', '100.0', 'balls_faced')} AS value, count(*) AS sample FROM batting WHERE {MEN_T20} AND batter_id IN {_IDS} GROUP BY 1, 2) v ON v.player_id = s.player_id AND v.ym = CAST(strftime(s.m, '%Y%m') AS BIGINT)"""))
 def _(m: Marts):
     return line.filled_months(line.line(BAT, m, "month", "strike_rate", _ROSTER))
 
@@ -274,7 +274,7 @@ def _(m: Marts):
     return line.line(Spec(discipline="bowling", vs=Vs("hand", "Right-hand bat")), m, "phase", "wickets", _ROSTER)
 
 
-@on_marts("phase_unpivot", sql(f"""SELECT player_id, player_name, unnest(['pp_strike_rate', 'mid_strike_rate', 'death_strike_rate']) AS metric, unnest([a, b, c]) AS value FROM (SELECT batter_id AS player_id, batter_name AS player_name, {_r('pp_runs', '100.0', 'pp_balls')} AS a, {_r('mid_runs', '100.0', 'mid_balls')} AS b, {_r('death_runs', '100.0', 'death_balls')} AS c
+@on_marts("phase_unpivot", sql(f"""SELECT player_id, player_name, unnest(['pp_strike_rate', 'mid_strike_rate', 'death_strike_rate']) AS metric, unnest([a, b, c]) AS value FROM (SELECT batter_id AS player_id, batter_name AS player_name, {rate_sql('pp_runs', '100.0', 'pp_balls')} AS a, {rate_sql('mid_runs', '100.0', 'mid_balls')} AS b, {rate_sql('death_runs', '100.0', 'death_balls')} AS c
  FROM batting WHERE {MEN_T20} AND batter_id IN {_IDS} GROUP BY 1, 2) q WHERE coalesce(a, 0) <> 0 OR coalesce(b, 0) <> 0 OR coalesce(c, 0) <> 0"""))
 def _(m: Marts):
     return compare.grouped_bars(BAT, m, "strike_rate", _ROSTER)
@@ -282,7 +282,7 @@ def _(m: Marts):
 
 # ---- comparisons ----------------------------------------------------------------------------------------------------
 def _window(a: str, z: str) -> str:
-    return f"SELECT player_id, min(player_name) AS player_name, max(v) AS v FROM (SELECT {_BAT_ID}, {_r('runs', '100.0', 'balls_faced')} AS v FROM batting WHERE {MEN_T20} AND match_date >= DATE '{a}' AND match_date < DATE '{z}' GROUP BY 1, 2) q WHERE coalesce(v, 0) <> 0 GROUP BY 1"
+    return f"SELECT player_id, min(player_name) AS player_name, max(v) AS v FROM (SELECT {_BAT_ID}, {rate_sql('runs', '100.0', 'balls_faced')} AS v FROM batting WHERE {MEN_T20} AND match_date >= DATE '{a}' AND match_date < DATE '{z}' GROUP BY 1, 2) q WHERE coalesce(v, 0) <> 0 GROUP BY 1"
 
 
 @on_marts("slope_two_windows", sql(f"SELECT a.player_id, a.player_name, a.v AS before, z.v AS after, z.v - a.v AS change FROM ({_window('1995-01-01', '1998-01-01')}) a JOIN ({_window('1998-01-01', '2002-01-01')}) z USING (player_id)"))
@@ -290,7 +290,7 @@ def _(m: Marts):
     return compare.two_windows(BAT, m, "strike_rate", ("1995-01", "1997-12"), ("1998-01", "2001-12"))
 
 
-_AXES = f"{_r('runs', '100.0', 'balls_faced')} AS strike_rate, {_r('runs', '1.0', 'dismissed')} AS average, {_r('dots', '100.0', 'balls_faced')} AS dot_pct"
+_AXES = f"{rate_sql('runs', '100.0', 'balls_faced')} AS strike_rate, {rate_sql('runs', '1.0', 'dismissed')} AS average, {rate_sql('dots', '100.0', 'balls_faced')} AS dot_pct"
 _POOL = f"_pool AS (SELECT {_BAT_ID}, {_AXES} FROM batting WHERE {MEN_T20} GROUP BY 1, 2)"
 _LONG = "_long AS (SELECT player_id, player_name, 'strike_rate' AS metric, strike_rate AS value, strike_rate AS good FROM _pool UNION ALL SELECT player_id, player_name, 'average', average, average FROM _pool UNION ALL SELECT player_id, player_name, 'dot_pct', dot_pct, -dot_pct FROM _pool)"
 _AXIS_KEYS = ["strike_rate", "average", "dot_pct"]
@@ -330,13 +330,13 @@ def _(m: Marts):
 _GAMES = "_games AS (SELECT player_id, count(DISTINCT match_id) AS games FROM player_matches GROUP BY 1)"
 
 
-@on_marts("auto_select_topnames", sql("SELECT p.player_id, p.player_name, p.runs, g.games FROM _runs2 p LEFT JOIN _games g USING (player_id) ORDER BY g.games DESC NULLS LAST, player_id LIMIT 12", _GAMES, f"_runs2 AS (SELECT batter_id AS player_id, min(batter_name) AS player_name, {_b('sum(runs)')} AS runs FROM batting WHERE {MEN_T20} GROUP BY 1)"))
+@on_marts("auto_select_topnames", sql("SELECT p.player_id, p.player_name, p.runs, g.games FROM _runs2 p LEFT JOIN _games g USING (player_id) ORDER BY g.games DESC NULLS LAST, player_id LIMIT 12", _GAMES, f"_runs2 AS (SELECT batter_id AS player_id, min(batter_name) AS player_name, {whole('sum(runs)')} AS runs FROM batting WHERE {MEN_T20} GROUP BY 1)"))
 def _(m: Marts):
     rows = compare.selected(BAT, m, None, ["runs"]).groupBy("player_id").agg(F.min("player_name").alias("player_name"), F.sum("runs").alias("runs"))
     return compare.auto_select(rows, "topnames", "runs", 12, games=search.career_games(m))
 
 
-@on_marts("auto_select_worst", sql(f"SELECT {_BOWL_ID}, {_r('runs_conceded', '6.0', 'balls')} AS economy FROM bowling WHERE {MEN_T20} GROUP BY 1, 2 ORDER BY economy DESC NULLS LAST, player_id LIMIT 10"))
+@on_marts("auto_select_worst", sql(f"SELECT {_BOWL_ID}, {rate_sql('runs_conceded', '6.0', 'balls')} AS economy FROM bowling WHERE {MEN_T20} GROUP BY 1, 2 ORDER BY economy DESC NULLS LAST, player_id LIMIT 10"))
 def _(m: Marts):
     return compare.auto_select(compare.selected(BOWL, m, None, ["economy"]), "worst", "economy", 10, higher_is_better=False)
 
@@ -386,23 +386,23 @@ def _(m: Marts):
     return search.core(rows, "batting", ["innings", "runs", "balls_faced", "average", "strike_rate", "high_score"])
 
 
-@on_marts("player_positions", sql(f"SELECT batting_position, count(*) AS innings, {_b('sum(runs)')} AS runs FROM batting WHERE batter_id = 'p14' AND match_type IN ('T20', 'IT20') AND bowling_team IN ('Team 2', 'Team 3', 'Team 4', 'Team 5') GROUP BY 1"))
+@on_marts("player_positions", sql(f"SELECT batting_position, count(*) AS innings, {whole('sum(runs)')} AS runs FROM batting WHERE batter_id = 'p14' AND match_type IN ('T20', 'IT20') AND bowling_team IN ('Team 2', 'Team 3', 'Team 4', 'Team 5') GROUP BY 1"))
 def _(m: Marts):
     rows = search.player_rows(replace(BAT, gender=None), m, "p14", "positions", search.Overlay(opposition=("Team 2", "Team 3", "Team 4", "Team 5")))
     return search.section(rows, "batting", "batting_position", ["innings", "runs"])
 
 
-@on_marts("player_opposition", sql(f"SELECT batting_team, count(*) AS innings, {_b('sum(wickets)')} AS wickets FROM bowling WHERE bowler_id = 'p17' AND match_type IN ('T20', 'IT20') GROUP BY 1"))
+@on_marts("player_opposition", sql(f"SELECT batting_team, count(*) AS innings, {whole('sum(wickets)')} AS wickets FROM bowling WHERE bowler_id = 'p17' AND match_type IN ('T20', 'IT20') GROUP BY 1"))
 def _(m: Marts):
     return search.section(search.player_rows(replace(BOWL, gender=None), m, "p17", "opposition"), "bowling", "batting_team", ["innings", "wickets"])
 
 
-@on_marts("player_matchups", sql(f"SELECT batting_hand, {_b('sum(balls)')} AS balls, {_b('sum(runs_conceded)')} AS runs_conceded, {_b('sum(wickets)')} AS wickets, {_r('runs_conceded', '1.0', 'wickets')} AS average, {_r('runs_conceded', '6.0', 'balls')} AS economy FROM matchup_bowling WHERE bowler_id = 'p17' AND match_type IN ('T20', 'IT20') GROUP BY 1"))
+@on_marts("player_matchups", sql(f"SELECT batting_hand, {whole('sum(balls)')} AS balls, {whole('sum(runs_conceded)')} AS runs_conceded, {whole('sum(wickets)')} AS wickets, {rate_sql('runs_conceded', '1.0', 'wickets')} AS average, {rate_sql('runs_conceded', '6.0', 'balls')} AS economy FROM matchup_bowling WHERE bowler_id = 'p17' AND match_type IN ('T20', 'IT20') GROUP BY 1"))
 def _(m: Marts):
     return search.matchups(search.player_rows(replace(BOWL, gender=None), m, "p17", "matchups"), "bowling")
 
 
-@on_marts("player_coverage", sql(f"SELECT {_b('coalesce(sum(balls_faced), 0)')} AS balls, {_b('''coalesce(sum(CASE WHEN bowling_group <> '(unmapped)' THEN balls_faced END), 0)''')} AS mapped_balls FROM matchup_batting WHERE batter_id = 'p14' AND match_type IN ('T20', 'IT20')"))
+@on_marts("player_coverage", sql(f"SELECT {whole('coalesce(sum(balls_faced), 0)')} AS balls, {whole('''coalesce(sum(CASE WHEN bowling_group <> '(unmapped)' THEN balls_faced END), 0)''')} AS mapped_balls FROM matchup_batting WHERE batter_id = 'p14' AND match_type IN ('T20', 'IT20')"))
 def _(m: Marts):
     return search.coverage(search.player_rows(replace(BAT, gender=None), m, "p14", "matchups"), "balls_faced", "bowling_group")
 
@@ -414,7 +414,7 @@ def _(m: Marts):
 
 
 # ---- ordering -------------------------------------------------------------------------------------------------------
-_TOP = f"SELECT {_BAT_ID}, {_b('sum(runs)')} AS runs FROM batting WHERE {MEN_T20} GROUP BY 1, 2"
+_TOP = f"SELECT {_BAT_ID}, {whole('sum(runs)')} AS runs FROM batting WHERE {MEN_T20} GROUP BY 1, 2"
 
 
 @on_marts("order_preserving_merge", sql(f"SELECT player_id, player_name, runs, CAST(row_number() OVER (ORDER BY CASE WHEN runs % 3 = 0 THEN runs END DESC NULLS LAST, runs DESC, player_id, player_name) AS BIGINT) AS place FROM ({_TOP}) q"))
