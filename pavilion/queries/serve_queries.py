@@ -231,13 +231,11 @@ def _(m: Marts):
 
 
 # ---- lines ----------------------------------------------------------------------------------------------------------
-_ROSTER = [f"p{k}" for k in range(0, 275, 5)]
-_IDS = "(" + ", ".join(f"'{p}'" for p in _ROSTER) + ")"
 _EPOCH = "CAST(datediff('day', DATE '1970-01-01', match_date) AS BIGINT)"
 
 
 def _line(bucket: str, order: str, source: str = "batting b", extra: str = "TRUE", value: str = rate_sql("runs", "100.0", "balls_faced"), sample: str = "count(*)") -> str:
-    inner = f"SELECT *, {bucket} AS bucket FROM {source} WHERE {MEN_T20} AND batter_id IN {_IDS} AND {extra}"
+    inner = f"SELECT *, {bucket} AS bucket FROM {source} WHERE {MEN_T20} AND {extra}"
     return sql(f"SELECT batter_id AS player_id, max(batter_name) AS player_name, bucket, {whole(order)} AS bucket_ord, {value} AS value, {sample} AS sample FROM ({inner}) q WHERE bucket IS NOT NULL GROUP BY batter_id, bucket")
 
 
@@ -255,29 +253,29 @@ _LINES = {
     "vs_bowling": _line("NULLIF(bowling_group, '(unmapped)')", "min(CASE WHEN bowling_group = 'Pace' THEN 0 ELSE 1 END)", "matchup_batting b", sample="count(DISTINCT match_id || ':' || innings_number)"),
     "innings": _line("CAST(row_number() OVER (PARTITION BY batter_id ORDER BY match_date, innings_number, match_id) AS VARCHAR)", "min(CAST(bucket AS BIGINT))"),
     "phase": sql(f"""SELECT player_id, player_name, sample, unnest(['pp', 'mid', 'death']) AS bucket, unnest([0::BIGINT, 1::BIGINT, 2::BIGINT]) AS bucket_ord, unnest([pp, mid, death]) AS value
- FROM (SELECT batter_id AS player_id, max(batter_name) AS player_name, count(*) AS sample, {', '.join(f"{rate_sql(f'{p}_runs', '100.0', f'{p}_balls')} AS {p}" for p in ('pp', 'mid', 'death'))} FROM batting WHERE {MEN_T20} AND batter_id IN {_IDS} GROUP BY 1) q"""),
+ FROM (SELECT batter_id AS player_id, max(batter_name) AS player_name, count(*) AS sample, {', '.join(f"{rate_sql(f'{p}_runs', '100.0', f'{p}_balls')} AS {p}" for p in ('pp', 'mid', 'death'))} FROM batting WHERE {MEN_T20} GROUP BY 1) q"""),
 }
 for _dim, _text in _LINES.items():
-    on_marts(f"line_{_dim}", _text)(lambda m, dim=_dim: line.line(BAT, m, dim, "strike_rate", _ROSTER))
+    on_marts(f"line_{_dim}", _text)(lambda m, dim=_dim: line.line(BAT, m, dim, "strike_rate", None))
 
 
 @on_marts("line_month_filled", sql(f"""SELECT s.player_id, s.player_name, strftime(s.m, '%Y%m') AS bucket, CAST(strftime(s.m, '%Y%m') AS BIGINT) AS bucket_ord, v.value, v.sample
- FROM (SELECT player_id, player_name, unnest(generate_series(a, z, INTERVAL 1 MONTH)) AS m FROM (SELECT batter_id AS player_id, max(batter_name) AS player_name, min(date_trunc('month', match_date)) AS a, max(date_trunc('month', match_date)) AS z FROM batting WHERE {MEN_T20} AND batter_id IN {_IDS} GROUP BY 1) q) s
- LEFT JOIN (SELECT batter_id AS player_id, year * 100 + month AS ym, {rate_sql('runs', '100.0', 'balls_faced')} AS value, count(*) AS sample FROM batting WHERE {MEN_T20} AND batter_id IN {_IDS} GROUP BY 1, 2) v ON v.player_id = s.player_id AND v.ym = CAST(strftime(s.m, '%Y%m') AS BIGINT)"""))
+ FROM (SELECT player_id, player_name, unnest(generate_series(a, z, INTERVAL 1 MONTH)) AS m FROM (SELECT batter_id AS player_id, max(batter_name) AS player_name, min(date_trunc('month', match_date)) AS a, max(date_trunc('month', match_date)) AS z FROM batting WHERE {MEN_T20} GROUP BY 1) q) s
+ LEFT JOIN (SELECT batter_id AS player_id, year * 100 + month AS ym, {rate_sql('runs', '100.0', 'balls_faced')} AS value, count(*) AS sample FROM batting WHERE {MEN_T20} GROUP BY 1, 2) v ON v.player_id = s.player_id AND v.ym = CAST(strftime(s.m, '%Y%m') AS BIGINT)"""))
 def _(m: Marts):
-    return line.filled_months(line.line(BAT, m, "month", "strike_rate", _ROSTER))
+    return line.filled_months(line.line(BAT, m, "month", "strike_rate", None))
 
 
 @on_marts("line_vs_phase_wickets", sql(f"""SELECT player_id, player_name, sample, unnest(['pp', 'mid', 'death']) AS bucket, unnest([0::BIGINT, 1::BIGINT, 2::BIGINT]) AS bucket_ord, unnest([pp, mid, death]) AS value
- FROM (SELECT bowler_id AS player_id, max(bowler_name) AS player_name, count(DISTINCT match_id || ':' || innings_number) AS sample, {', '.join(f"CAST(sum({p}_wickets) AS DOUBLE) AS {p}" for p in ('pp', 'mid', 'death'))} FROM matchup_bowling WHERE {MEN_T20} AND bowler_id IN {_IDS} AND batting_hand = 'Right-hand bat' GROUP BY 1) q"""))
+ FROM (SELECT bowler_id AS player_id, max(bowler_name) AS player_name, count(DISTINCT match_id || ':' || innings_number) AS sample, {', '.join(f"CAST(sum({p}_wickets) AS DOUBLE) AS {p}" for p in ('pp', 'mid', 'death'))} FROM matchup_bowling WHERE {MEN_T20} AND batting_hand = 'Right-hand bat' GROUP BY 1) q"""))
 def _(m: Marts):
-    return line.line(Spec(discipline="bowling", vs=Vs("hand", "Right-hand bat")), m, "phase", "wickets", _ROSTER)
+    return line.line(Spec(discipline="bowling", vs=Vs("hand", "Right-hand bat")), m, "phase", "wickets", None)
 
 
 @on_marts("phase_unpivot", sql(f"""SELECT player_id, player_name, unnest(['pp_strike_rate', 'mid_strike_rate', 'death_strike_rate']) AS metric, unnest([a, b, c]) AS value FROM (SELECT batter_id AS player_id, batter_name AS player_name, {rate_sql('pp_runs', '100.0', 'pp_balls')} AS a, {rate_sql('mid_runs', '100.0', 'mid_balls')} AS b, {rate_sql('death_runs', '100.0', 'death_balls')} AS c
- FROM batting WHERE {MEN_T20} AND batter_id IN {_IDS} GROUP BY 1, 2) q WHERE coalesce(a, 0) <> 0 OR coalesce(b, 0) <> 0 OR coalesce(c, 0) <> 0"""))
+ FROM batting WHERE {MEN_T20} GROUP BY 1, 2) q WHERE coalesce(a, 0) <> 0 OR coalesce(b, 0) <> 0 OR coalesce(c, 0) <> 0"""))
 def _(m: Marts):
-    return compare.grouped_bars(BAT, m, "strike_rate", _ROSTER)
+    return compare.grouped_bars(BAT, m, "strike_rate", None)
 
 
 # ---- comparisons ----------------------------------------------------------------------------------------------------

@@ -2,7 +2,8 @@
 
 Two ways to the same end. *Batch*: list files, take those the ledger doesn't name, flatten, append, and write the ledger
 last, so a run that dies leaves files to be taken again; rows of a batch are replaced, not doubled, as each batch writes to
-a folder of its own. *Stream*: a file source with ``availableNow`` and a checkpoint; each micro-batch is written under its
+a folder of its own, and readers see the batches that the ledger names. The names of a folder pass through the driver, as
+they do in any file source; a folder that only grows is better taken as a stream. *Stream*: a file source with ``availableNow`` and a checkpoint; each micro-batch is written under its
 number with overwrite, which makes its retry harmless.
 """
 
@@ -19,7 +20,8 @@ def _written(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return None
-    return spark.read.option("recursiveFileLookup", True).parquet(f"{root}/{table}")
+    found = spark.read.parquet(f"{root}/{table}")
+    return found.withColumn("batch", F.col("batch").cast("string"))
 
 
 def ledger(spark: SparkSession, root: str) -> DataFrame | None:
@@ -64,11 +66,16 @@ def ingest_stream(spark: SparkSession, folder: str, root: str) -> None:
 
 
 def opened(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The store's tables so far; of the registry, the first name of each id."""
-    names = ("matches", "innings", "deliveries", "wickets", "wicket_fielders", "powerplays", "match_players", "officials", "ingested_files", "player_registry")
-    out = {n: df for n in names if (df := _written(spark, root, n)) is not None}
-    if "player_registry" in out:
-        out["players"] = out["player_registry"].groupBy("player_id").agg(F.min_by("player_name", F.struct("batch", "player_name")).alias("player_name")) if "batch" in out["player_registry"].columns else out["player_registry"].groupBy("player_id").agg(F.min("player_name").alias("player_name"))
-    return out
-
+    """The store's tables so far, of finished batches only; of the registry, the first name of each id.
 
+    A batch that died halfway has rows but no entry in the ledger: its folders are left out until it is taken again.
+    """
+    names = ("matches", "innings", "deliveries", "wickets", "wicket_fielders", "powerplays", "match_dates_overflow", "match_players", "match_player_of_match", "officials", "ingested_files", "player_registry")
+    done = ledger(spark, root)
+    if done is None:
+        return {}
+    finished = done.select("batch").distinct()
+    out = {n: df.join(finished, "batch", "left_semi") for n in names if (df := _written(spark, root, n)) is not None}
+    if "player_registry" in out:
+        out["players"] = out["player_registry"].groupBy("player_id").agg(F.min_by("player_name", F.struct("batch", "player_name")).alias("player_name"))
+    return {n: df.drop("batch") for n, df in out.items()}

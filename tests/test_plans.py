@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from pavilion.functions.metrics import CATALOGUE, formatted, metric
-from pavilion.plans import line, search
+from pavilion.plans import charts, line, presets, search
 from pavilion.plans.leaderboard import grouped
 from pavilion.plans.spec import Condition, Spec, Vs, _after, _integers, preset
 
@@ -41,6 +41,32 @@ def test_spec_rules():
     assert "vs Spin" in Spec(vs=Vs("group", "Spin")).describe()
 
 
+def test_presets():
+    t20, odi, red = Spec(), Spec(formats=("50 Over",)), Spec(formats=("Red Ball",))
+    assert presets.names("bowling") == ["core", "control", "wicket_types", "phases"]
+    assert presets.columns(red, "phases") is None and presets.applied(red, "phases") is red
+    assert "balls_per_dismissal" in presets.default(red) and "strike_rate" in presets.default(t20)
+    assert presets.default(Spec(discipline="bowling", formats=("Red Ball",)))[-1] == "best"
+    assert "comp_pace" in presets.default(Spec(vs=Vs("group", "Spin")))
+    for spec in (t20, odi, Spec(discipline="bowling"), Spec(discipline="bowling", formats=("50 Over",))):
+        for name in presets.names(spec.discipline):
+            chosen = presets.applied(spec, name)
+            assert chosen.columns == presets.columns(spec, name) and presets.active(chosen) == name
+            assert all(k in CATALOGUE[spec.discipline] for k in chosen.columns)
+    assert presets.active(Spec(columns=("runs", "innings"))) is None
+    assert all(k in CATALOGUE[ns] for ns, keys in presets.DEFAULTS.items() for k in keys)
+
+
+def test_chart_rules():
+    assert charts.held("bar", 1) == 0 and charts.held("bar", 40) == 15 and charts.held("radar", 3) == 3
+    runs, best = metric("batting", "runs"), metric("bowling", "best")
+    assert charts.title("bar", charts.Roster(1, "games"), (runs,)) == "Runs — 1 most-capped player"
+    assert charts.title("bar", charts.Roster(5, "best"), (runs,)) == "Runs — 5 players"  # a rank by nothing is no claim
+    assert charts.title("line", charts.Roster(4, "worst", runs), (best,)).endswith("— Line — bottom 4 by runs")
+    assert charts.title("benchmark", charts.Roster(1)) == "Choose an anchor player" and charts.title("pie", charts.Roster(1)) == "Untitled chart"
+    assert charts._within("Strike Rate (first 10 balls) BBI") == "strike rate (first 10 balls) BBI"
+
+
 def test_offered_dimensions():
     assert "vs_bowling" not in line.offered(Spec(vs=Vs("group", "Spin"))) and "position" not in line.offered(Spec(discipline="bowling"))
     assert "phase" not in line.offered(Spec(formats=("Red Ball",)))

@@ -67,6 +67,32 @@ def test_ledger(spark, folder, tmp_path):
     assert store["matches"].count() == 2 and store["deliveries"].count() == 4 and store["players"].count() == 3
 
 
+def test_unfinished_batch_is_not_read(spark, folder, tmp_path):
+    root = f"{tmp_path}/out"
+    assert ledger.opened(spark, root) == {}
+    assert ledger.ingest(spark, str(folder), root, "1") == 2
+    # A second run that died after its deliveries, before the ledger.
+    spark.read.parquet(f"{root}/deliveries/batch=1").write.parquet(f"{root}/deliveries/batch=2")
+    store = ledger.opened(spark, root)
+    assert store["deliveries"].count() == 2 and "batch" not in store["deliveries"].columns
+
+
+def test_alerts(spark, tmp_path):
+    import datetime as dt
+
+    from pavilion.operators.profiles import new_alerts
+    from pavilion.sources.tables import StateStore
+
+    state = StateStore(spark, str(tmp_path))
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    named = lambda ids, k: sorted(r[0] for r in new_alerts(spark.createDataFrame([(i,) for i in ids], "player_id string"), state, day(k)).collect())
+    assert named("ab", 0) == []  # the baseline
+    assert named("abc", 1) == ["c"]
+    assert named("abcd", 2) == [] and named("abcde", 8) == ["d", "e"]  # held back within the week, named after it
+    assert named("abc", 9) == [] and named("abcd", 20) == ["d"]  # resolved, then back
+    assert named("", 40) == [] and named("", 41) == []
+
+
 def test_ledger_stream(spark, folder, tmp_path):
     root = f"{tmp_path}/stream"
     (folder / "bad.json").unlink()
