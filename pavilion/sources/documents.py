@@ -40,6 +40,38 @@ def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return named(raw)
 
 
+#: Members of an archive that are passed on at a time.
+MEMBERS = 64
+
+
+def archived(spark: SparkSession, path: str | list[str], done: DataFrame | None = None) -> DataFrame:
+    """The same of the .json members of ZIP archives, an archive a task; members whose file_name is in ``done`` are left out.
+
+    A member that isn't JSON keeps its text in _corrupt. An archive that can't be opened fails the job.
+    """
+
+    def members(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column("content"):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                    names = [n for n in archive.namelist() if n.endswith(".json")]
+                    for k in range(0, len(names), MEMBERS):
+                        part = names[k : k + MEMBERS]
+                        texts = [archive.read(n).decode("utf-8-sig", "replace") for n in part]
+                        yield pa.record_batch([pa.array([n.rsplit("/", 1)[-1] for n in part]), pa.array(texts)], names=["file_name", "text"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(members, "file_name string, text string")
+    if done is not None:
+        rows = rows.join(done.select("file_name").distinct(), "file_name", "left_anti")
+    read_as = F.from_json("text", schema(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return rows.select(F.regexp_replace("file_name", "\\.json$", "").alias("match_id"), "file_name", read_as.alias("d")).select("match_id", "file_name", "d.*")
+
+
 def named(raw: DataFrame) -> DataFrame:
     name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1)
     return raw.select(F.regexp_replace(F.url_decode(name), "\\.json$", "").alias("match_id"), F.url_decode(name).alias("file_name"), *raw.columns)

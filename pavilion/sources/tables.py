@@ -4,16 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
-import shutil
 import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -225,35 +222,57 @@ class StateStore:
 
 @dataclass
 class SourceResolver:
-    """A sheet from its primary place, else the last good copy, else the seed; with the age of its content."""
+    """A sheet from its primary place, else the last good copy, else the seed; with the age of its content.
 
+    All places are paths of any file system that the session knows. A copy is good if its first line has the columns of
+    ``header``. ``alert`` says that somebody should be told that the content hasn't changed for ``stale_days``: once, and
+    again every ``alert_days`` while that lasts.
+    """
+
+    spark: SparkSession
     primary: str
     last_good: str
     seed: str
     header: tuple[str, ...] = ()
     stale_days: int = 21
+    alert_days: int = 7
+    sleep: Callable[[float], None] = time.sleep
+
+    def _fetched(self) -> str:
+        text = read_text(self.spark, self.primary)
+        if text is None:
+            raise ValueError(f"nothing at {self.primary}")
+        first = text.removeprefix("\ufeff").split("\n", 1)[0]
+        if lacking := [h for h in self.header if h not in [c.strip().strip('"') for c in first.split(",")]]:
+            raise ValueError(f"columns missing: {', '.join(lacking)}")
+        return text
 
     def resolve(self, today: float | None = None) -> dict:
-        today = today or time.time()
-        state = Path(f"{self.last_good}.meta.json")
-        meta = json.loads(state.read_text()) if state.exists() else {}
+        today = time.time() if today is None else today
+        at = f"{self.last_good}.meta.json"
+        meta = json.loads(read_text(self.spark, at) or "{}")
+        out = {}
         try:
-            data = Path(self.primary).read_bytes()
-            first = data.decode("utf-8-sig").split("\n", 1)[0]
-            if lacking := [h for h in self.header if h not in [c.strip().strip('"') for c in first.split(",")]]:
-                raise ValueError(f"columns missing: {', '.join(lacking)}")
-            sha = hashlib.sha256(data).hexdigest()
-            changed = meta.get("changed_at", today) if sha == meta.get("sha") else today
-            shutil.copyfile(self.primary, self.last_good)
-            meta = {"sha": sha, "fetched_at": today, "changed_at": changed}
-            state.write_text(json.dumps(meta))
-            return meta | {"path": self.last_good, "from": "primary", "stale": today - changed > self.stale_days * 86400}
-        except (OSError, ValueError) as e:
-            where = next(((p, n) for p, n in ((self.last_good, "last_good"), (self.seed, "seed")) if os.path.exists(p)), None)
+            text = retried(self._fetched, waits=(3, 6), sleep=self.sleep)
+            sha = hashlib.sha256(text.encode()).hexdigest()
+            if sha != meta.get("sha"):
+                write_text(self.spark, self.last_good, text)
+                meta = {"sha": sha, "changed_at": today}
+            meta["fetched_at"] = today
+            out = {"path": self.last_good, "from": "primary"}
+        except Exception as e:  # whatever goes wrong there, an older copy serves
+            where = next(((p, n) for p, n in ((self.last_good, "last_good"), (self.seed, "seed")) if read_text(self.spark, p) is not None), None)
             if where is None:
                 raise
-            changed = meta.get("changed_at", today)
-            return meta | {"path": where[0], "from": where[1], "error": str(e), "stale": today - changed > self.stale_days * 86400}
+            out = {"path": where[0], "from": where[1], "error": str(e)}
+        out["stale"] = today - meta.get("changed_at", today) > self.stale_days * 86400
+        out["alert"] = out["stale"] and today - meta.get("alerted_at", -float("inf")) >= self.alert_days * 86400
+        if out["alert"]:
+            meta["alerted_at"] = today
+        elif not out["stale"]:
+            meta.pop("alerted_at", None)
+        write_text(self.spark, at, json.dumps(meta, sort_keys=True))
+        return meta | out
 
 
 def file_names(spark: SparkSession, folder: str, pattern: str = r"\.(json|txt)$") -> list[str]:

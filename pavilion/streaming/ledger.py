@@ -58,6 +58,13 @@ def ingest(spark: SparkSession, folder: str, root: str, batch: str) -> int:
     return len(files)
 
 
+def ingest_archives(spark: SparkSession, path: str | list[str], root: str, batch: str) -> int:
+    """Takes the documents of ZIP archives that the ledger doesn't name; how many there were."""
+    write_batch(documents.archived(spark, path, ledger(spark, root)), root, batch)
+    taken = ledger(spark, root)
+    return taken.where(F.col("batch") == batch).count()
+
+
 def ingest_stream(spark: SparkSession, folder: str, root: str) -> None:
     """The same as a stream that ends when all files there are have been taken."""
     raw = spark.readStream.schema(documents.schema()).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(folder)

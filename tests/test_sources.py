@@ -151,17 +151,46 @@ def test_small_inputs(spark, tmp_path):
     assert tables.read_csv(spark, f"{tmp_path}/q").count() == 2
 
 
-def test_source_resolver(tmp_path):
+def test_source_resolver(spark, tmp_path):
     primary, good, seed = (tmp_path / n for n in ("p.csv", "g.csv", "s.csv"))
-    primary.write_text("a,b\n1,2\n")
+    primary.write_text("\ufeffa,b\n1,2\n")
     seed.write_text("a,b\n")
-    r = tables.SourceResolver(str(primary), str(good), str(seed), ("a", "b"))
-    day = 86400
-    assert r.resolve(day)["from"] == "primary" and not r.resolve(10 * day)["stale"] and r.resolve(40 * day)["stale"]
+    waits = []
+    r = tables.SourceResolver(spark, *(f"file://{p}" for p in (primary, good, seed)), ("a", "b"), sleep=waits.append)
+    at = lambda day: r.resolve(day * 86400)
+    assert at(1)["from"] == "primary" and not at(10)["stale"] and waits == []
+    assert [(at(d)["stale"], at(d)["alert"]) for d in (40,)] == [(True, False)]  # the first call of the two had the alert
+    assert not at(43)["alert"] and at(47)["alert"] and not at(48)["alert"]
+    primary.write_text("a,b\n3,4\n")
+    assert not at(49)["stale"] and good.read_text() == "a,b\n3,4\n"
     primary.write_text("x\n")
-    assert r.resolve(41 * day)["from"] == "last_good"
+    assert at(50)["from"] == "last_good" and waits == [3, 6]
+    primary.unlink()
+    assert at(71)["alert"] and not at(72)["alert"]  # an unreachable sheet grows stale as well
     good.unlink()
-    assert r.resolve(42 * day)["from"] == "seed"
+    assert at(73)["from"] == "seed"
+    seed.unlink()
+    with pytest.raises(ValueError, match="nothing at"):
+        at(74)
+
+
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    first, second, root = tmp_path / "one.zip", tmp_path / "two.zip", f"{tmp_path}/out"
+    with zipfile.ZipFile(first, "w") as z:
+        z.writestr("all/one.json", json.dumps(DOC))
+        z.writestr("README.txt", "no document")
+        z.writestr("bad.json", "{not json")
+    with zipfile.ZipFile(second, "w") as z:
+        z.writestr("one.json", json.dumps(DOC))
+        z.writestr("two.json", json.dumps(DOC))
+    assert ledger.ingest_archives(spark, str(first), root, "1") == 1
+    assert ledger.ingest_archives(spark, str(second), root, "2") == 1  # the first one is known
+    assert ledger.ingest_archives(spark, [str(first), str(second)], root, "3") == 0
+    store = ledger.opened(spark, root)
+    assert {r.match_id for r in store["matches"].collect()} == {"one", "two"} and store["deliveries"].count() == 4
+    assert spark.read.parquet(f"{root}/quarantine").select("file_name").distinct().collect()[0][0] == "bad.json"
 
 
 def test_names(spark):
