@@ -29,14 +29,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/pavilion/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, most: int | None = None, **options) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends here, and a lost executor loses nothing of it.
 
     Of a frame of ``most`` rows at most, all small ones, no more files are made than these rows need.
     """
     path = new_path(df.sparkSession, name)
     df = df if most is None else df.coalesce(1 + most // FILE_ROWS)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,9 +10,10 @@ rest could no longer lift a vector of the least partial sum to the threshold: th
 adds at most reaches the threshold, which rises at each step. Ties count as competitive, so results are exact. Scores are
 integers: sums are taken in double precision where they are provably below 2**53, else in Python integers.
 
-Vectors are packed in shards, queries in blocks, both of bounded size. Each block meets each shard once, by the number of
-a shard's bucket (there are as many buckets as shards, so that one holds a few): a stated query set (its share of the rows
-is fixed by the caller) against all rows. A shard returns k rows a query at most, and shards merge by rank in two steps.
+Vectors are packed in shards, queries in blocks, both of bounded size. Each block meets each shard once, in a Cartesian
+product of the two tables' files: a stated query set (its share of the rows is fixed by the caller) against all rows. Nothing
+is broadcast, however small the files are (repeated rows compress to nearly nothing), and no copy of a block crosses the
+network. A shard returns k rows a query at most, those that its task's threshold leaves; shards merge by rank in two steps.
 
 Defined results: vectors that are null, hold a null or a non-finite component take no part; components beyond a vector's
 end are zero, so an empty vector scores 0; a candidate is any row but the query's own, by id: rows that share an id are one
@@ -72,7 +73,9 @@ def _packed(vectors: DataFrame, size: int, name: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([blob], pa.binary())], names=["part", "blob"])
                     n += 1
 
-    return written(vectors.mapInArrow(pack, "part long, blob binary"), name)
+    # A row group for each few megabytes, so that a file can be read in several tasks.
+    small = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    return written(vectors.mapInArrow(pack, "part long, blob binary"), name, **small)
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -150,11 +153,6 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
     shards = _packed(vectors.where(F.col("vec_id").isNotNull()).select("vec_id", "embedding"), SHARD, "vectors")
     asked = queries.where(F.col("vec_id").isNotNull()).select("vec_id", "embedding").distinct()
     blocks = _packed(asked, BLOCK, "queries")
-    # Every block goes to every bucket of shards: (shard, block) pairs, not pairs of rows.
-    n = max(1, shards.count())
-    dealt = shards.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(n)))
-    sent = blocks.select(F.col("blob").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("bucket"))
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard = None, None
         thresholds: dict[int, int] = {}
@@ -168,14 +166,20 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
                 for q, query in zip(*_unpacked(asked.as_py()), strict=True):
                     key = int(q), hash(query.tobytes())  # rows of one id may hold several vectors
                     ids, scores = shard.best(int(q), query, k, thresholds.get(key, -np.inf))
+                    known = thresholds.get(key, -np.inf)
                     if len(scores) == k:
-                        thresholds[key] = max(scores[-1], thresholds.get(key, scores[-1]))
+                        thresholds[key] = max(scores[-1], known)
+                    if scores and scores[-1] < known:  # k ids of another shard are better
+                        scores = [x for x in scores if x >= known]
+                        ids = ids[: len(scores)]
                     out[0] += [int(q)] * len(scores)
                     out[1] += ids.tolist()
                     out[2] += scores
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
-    hits = dealt.join(sent, "bucket").select("part", "blob", "queries").mapInArrow(search, _HITS)
+    # (shard, block) pairs, not pairs of rows; without the hint, files that compress well would be broadcast.
+    pairs = shards.hint("shuffle_replicate_nl").crossJoin(blocks.select(F.col("blob").alias("queries")))
+    hits = pairs.select("part", "blob", "queries").mapInArrow(search, _HITS)
     best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

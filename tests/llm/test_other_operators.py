@@ -253,6 +253,13 @@ def test_top_k_over_many_shards(spark, monkeypatch):
         assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(scores, 1)]
 
 
+def test_top_k_sends_nothing_to_the_driver(spark):
+    """Repeated vectors compress to files far below the broadcast threshold; their blocks times shards don't fit the driver."""
+    frame = spark.createDataFrame([(k, [float(k % 20)] * 64) for k in range(2000)], "vec_id long, embedding array<float>")
+    plan = topk_search.digest(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
+
+
 def test_top_k_of_huge_values(spark):
     rows = [(0, [3.0e9, 1.0]), (1, [2.0e3, 5.0]), (2, [1.0e3, 9.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
