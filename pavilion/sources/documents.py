@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pavilion.functions import text
+from pavilion.sources.tables import CODEC
 
 DATES = 6
 
@@ -68,6 +69,21 @@ def archived(spark: SparkSession, path: str | list[str], done: DataFrame | None
     rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(members, "file_name string, text string")
     if done is not None:
         rows = rows.join(done.select("file_name").distinct(), "file_name", "left_anti")
+    return parsed(rows)
+
+
+#: Documents of a bundle file at most: some 25 MB of text, or 2 MB as written.
+BUNDLE = 1000
+BUNDLE_SCHEMA = "file_name string, text string"
+
+
+def write_bundles(docs: DataFrame, path: str) -> None:
+    """Named documents (``file_name``, ``text``) as Parquet files of many, since a file each costs more than its text."""
+    docs.select("file_name", "text").write.option("compression", CODEC).option("maxRecordsPerFile", BUNDLE).parquet(path)
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """Rows of ``file_name`` and ``text`` as :func:`read` gives them; a text that isn't JSON is kept in _corrupt."""
     read_as = F.from_json("text", schema(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     return rows.select(F.regexp_replace("file_name", "\\.json$", "").alias("match_id"), "file_name", read_as.alias("d")).select("match_id", "file_name", "d.*")
 

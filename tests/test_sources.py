@@ -193,6 +193,34 @@ def test_archives(spark, tmp_path):
     assert spark.read.parquet(f"{root}/quarantine").select("file_name").distinct().collect()[0][0] == "bad.json"
 
 
+def test_bundles(spark, tmp_path):
+    """Documents of bundles are taken once by name: from a stream in micro-batches, from a batch, and when both repeat."""
+    root, bad = f"{tmp_path}/out", '{"info": '
+    put = lambda *docs: documents.write_bundles(spark.createDataFrame(docs, "file_name string, text string").coalesce(1), f"{tmp_path}/in/{len(docs)}")
+    put(("one.json", json.dumps(DOC)), ("bad.json", bad), ("one.json", json.dumps(DOC)))
+    ledger.ingest_bundles_stream(spark, f"{tmp_path}/in/*", root)
+    put(("one.json", json.dumps(DOC)), ("two.json", json.dumps(DOC)))
+    ledger.ingest_bundles_stream(spark, f"{tmp_path}/in/*", root)
+    store = ledger.opened(spark, root)
+    assert sorted(r.match_id for r in store["matches"].collect()) == ["one", "two"] and store["deliveries"].count() == 4
+    assert ledger.ingest_bundles(spark, f"{tmp_path}/in/*", root, "again") == 1  # the one that can't be read stays pending
+    assert ledger.ingest_bundles(spark, f"{tmp_path}/in/2", root, "more") == 0
+    assert ledger.opened(spark, root)["matches"].count() == 2
+    assert spark.read.parquet(f"{root}/quarantine").select("file_name").distinct().collect()[0][0] == "bad.json"
+
+
+def test_ledger_query_needs_no_file_a_document(spark, tmp_path, monkeypatch):
+    """A file for each of many documents took most of the time."""
+    from pathlib import Path
+
+    from pavilion.queries import QUERIES, store_queries
+
+    monkeypatch.setattr(store_queries, "shared_folder", lambda _: f"file://{tmp_path}")
+    got = {r.name: r.n for r in QUERIES["incremental_ledger"](spark, "/root/testdata/sf0.001").collect()}
+    landed = [p for p in Path(tmp_path).glob("ledger-*/in/*") if not p.name.startswith((".", "_"))]
+    assert 0 < len(landed) <= 8 < got["ingested_files"]
+
+
 def test_names(spark):
     df = spark.createDataFrame([("José-Ángel Ñ1",), ("---",), (None,)], "n string")
     assert [r.x for r in df.select(text.norm_alnum(F.col("n")).alias("x")).collect()] == ["joseangeln1", None, None]
