@@ -122,7 +122,10 @@ def by_phase(spec: Spec, marts: dict[str, DataFrame], key: str, players: list[st
 
 def filled_months(values: DataFrame) -> DataFrame:
     """Every month between each player's first and last, with null where nothing happened."""
+    # A player's months lie in one row meanwhile, so that the values are derived once and not joined with themselves.
     first = lambda c: F.to_date(c, "yyyyMM")
-    span = values.groupBy("player_id").agg(F.max("player_name").alias("player_name"), first(F.min("bucket")).alias("a"), first(F.max("bucket")).alias("z"))
-    months = span.select("player_id", "player_name", F.explode(F.expr("sequence(a, z, interval 1 month)")).alias("m")).select("player_id", "player_name", F.date_format("m", "yyyyMM").alias("bucket"))
-    return months.join(values.select("player_id", "bucket", "value", "sample"), ["player_id", "bucket"], "left").select("player_id", "player_name", "bucket", F.col("bucket").cast("long").alias("bucket_ord"), "value", "sample")
+    there = F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("value", "sample"))))
+    span = values.groupBy("player_id").agg(F.max("player_name").alias("player_name"), first(F.min("bucket")).alias("a"), first(F.max("bucket")).alias("z"), there.alias("there"))
+    months = span.select("player_id", "player_name", "there", F.explode(F.expr("sequence(a, z, interval 1 month)")).alias("m")).withColumn("bucket", F.date_format("m", "yyyyMM"))
+    at = F.try_element_at("there", F.col("bucket"))
+    return months.select("player_id", "player_name", "bucket", F.col("bucket").cast("long").alias("bucket_ord"), at["value"].alias("value"), at["sample"].alias("sample"))

@@ -195,3 +195,11 @@ def _exchanges(plan):
     found = [plan] if plan.nodeName() == "Exchange" else []
     children = plan.children()
     return found + [x for k in range(children.size()) for x in _exchanges(children.apply(k))]
+
+
+def test_filled_months_reads_its_values_once(spark, tmp_path):
+    rows = [("p1", "A", "202311", 202311, 1.5, 2), ("p1", "A", "202401", 202401, None, 1), ("p2", "B", "202402", 202402, 3.0, 4)]
+    spark.createDataFrame(rows, "player_id string, player_name string, bucket string, bucket_ord long, value double, sample long").write.parquet(f"{tmp_path}/v")
+    got = line.filled_months(spark.read.parquet(f"{tmp_path}/v"))
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], ("p1", "A", "202312", 202312, None, None), rows[1], rows[2]]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
