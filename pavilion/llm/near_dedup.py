@@ -301,17 +301,27 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
+def _kept(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Written once the executors have let go of what the steps before left.
+
+    These steps are many and short, of tasks whose sorts and sums take a page of memory however few rows they have: the
+    garbage of some steps makes a heap grow to its bound, where the memory of an executor has no room for a moment's more.
+    """
+    trimmed(df.sparkSession)
+    return written(df, name, most)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, comp): every vertex of the links with the least vertex that it reaches."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     n = 2 * links.count()
-    edges = written(both.distinct(), "edges", n)
-    labels = written(edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("l")).select("v", F.least("v", "l").alias("comp")), "labels", n)
+    edges = _kept(both.distinct(), "edges", n)
+    labels = _kept(edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("l")).select("v", F.least("v", "l").alias("comp")), "labels", n)
     while True:
         heard = looked_up(edges, labels, "v", "u").groupBy("u").agg(F.min("comp").alias("m")).withColumnRenamed("u", "v")
         least = labels.join(heard, "v").select("v", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
         roots = labels.select(F.col("v").alias("comp"), F.col("comp").alias("root"))
-        new = written(looked_up(least, roots, "comp", "v", "left").select("v", "was", F.least("comp", F.coalesce("root", "comp")).alias("comp")), "labels", n)
+        new = _kept(looked_up(least, roots, "comp", "v", "left").select("v", "was", F.least("comp", F.coalesce("root", "comp")).alias("comp")), "labels", n)
         labels = new.select("v", "comp")
         if new.where("was <> comp").isEmpty():
             return labels
@@ -416,40 +426,40 @@ def linked_across(tiles: DataFrame, texts: DataFrame) -> DataFrame:
 def clustered(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id and kept."""
     buckets = max(1, docs.count() * BANDS // BUCKET_ENTRIES)
-    signed = written(signatures(docs, buckets), "signatures")
+    signed = _kept(signatures(docs, buckets), "signatures")
     named = signed.where("cls is not null")
     reps = least_by(named, ["cls"], "doc_id", "doc_id").select("cls", F.col("doc_id").alias("rep"))
-    members = written(looked_up(named.select("doc_id", "n", "cls", "lead", "met"), reps, "cls", "doc_id").select("doc_id", "n", "rep", "lead", "met"), "members")
-    found = written(meetings(signed, buckets), "meetings")
+    members = _kept(looked_up(named.select("doc_id", "n", "cls", "lead", "met"), reps, "cls", "doc_id").select("doc_id", "n", "rep", "lead", "met"), "members")
+    found = _kept(meetings(signed, buckets), "meetings")
     n, far = members.count(), found.count()
     # Pairs of documents become pairs of their classes' representatives.
     of = members.select("doc_id", "rep").distinct()
     joined = found.where("b is not null").join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
     joined = looked_up(joined, of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b", "a")
-    pairs = written(_pairs(joined.select("ra", "rb")), "pairs", far)
+    pairs = _kept(_pairs(joined.select("ra", "rb")), "pairs", far)
     local = looked_up(members.where("lead <> doc_id").select("lead", "rep"), of.select(F.col("doc_id").alias("lead"), F.col("rep").alias("rb")), "lead", "rep")
     several = of.groupBy("doc_id").agg(F.min("rep").alias("rb"), F.count("*").alias("m")).where("m > 1")
     known = _pairs(local.select(F.col("rep").alias("ra"), "rb").unionByName(looked_up(of, several, "doc_id", "rep").select(F.col("rep").alias("ra"), "rb")))
     away = found.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct()
-    trimmed(docs.sparkSession)
     # Merge joins whatever the sizes: what a run moves then follows the input, and no side has to fit a broadcast.
-    ids = written(members.where("met").select("rep").unionByName(of.join(away.hint("merge"), "doc_id", "left_semi").select("rep")).distinct(), "touched", n)
-    nodes = written(named.select(F.col("doc_id").alias("rep"), "n", "bands", "fine").join(ids.hint("merge"), "rep", "left_semi"), "nodes")
-    texts = written(docs.where("text is not null").select("doc_id", "text").join(ids.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
-    close = written(likely(pairs, nodes), "likely", far)
-    links = written(known.unionByName(verified(close, texts)).distinct(), "links", n + far)
+    ids = _kept(members.where("met").select("rep").unionByName(of.join(away.hint("merge"), "doc_id", "left_semi").select("rep")).distinct(), "touched", n)
+    nodes = _kept(named.select(F.col("doc_id").alias("rep"), "n", "bands", "fine").join(ids.hint("merge"), "rep", "left_semi"), "nodes")
+    texts = _kept(docs.where("text is not null").select("doc_id", "text").join(ids.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
+    close = _kept(likely(pairs, nodes), "likely", far)
+    links = _kept(known.unionByName(verified(close, texts)).distinct(), "links", n + far)
     touched = ids.select(F.col("rep").alias("v"))
     labels = _labelled(links, touched)
     below = 2.0
     for least in LEAST:
-        tiles = written(between(nodes, labels, least, below), "tiles")
-        extra = written(linked_across(tiles, texts), "links", tiles.count())
+        tiles = _kept(between(nodes, labels, least, below), "tiles")
+        extra = _kept(linked_across(tiles, texts), "links", tiles.count())
         if not extra.isEmpty():
             links = links.unionByName(extra)
             labels = _labelled(links, touched)
         below = least
     comps = labels.select(F.col("v").alias("rep"), "comp")
     done = looked_up(members, comps, "rep", "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+    trimmed(docs.sparkSession)
     rest = signed.where("cls is null and bucket is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return done.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

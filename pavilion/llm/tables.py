@@ -44,9 +44,10 @@ def trimmed(spark: SparkSession) -> None:
     """Has the executors' JVMs give back memory that holds garbage only.
 
     A JVM keeps what its heap has grown to, and Python workers live beside it in the executor's memory: between stages
-    that are heavy on both, a collection (some tenths of a second) leaves the next one all but what is in use.
+    that are heavy on both, a collection (some tenths of a second) leaves the next one all but what is in use. A stage of
+    many short steps has one before each of them.
     """
-    tasks = 4 * spark.sparkContext.defaultParallelism
+    tasks = 2 * spark.sparkContext.defaultParallelism
     spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
 
 

@@ -145,6 +145,16 @@ def test_near_dedup_keeps_columns(spark, docs):
     assert near_dedup.clustered(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_collects_before_each_step(spark, docs, monkeypatch):
+    """What one step leaves in the executors is gone before the next one writes, and before the caller does."""
+    seen, trimmed, written = [], near_dedup.trimmed, near_dedup.written
+    monkeypatch.setattr(near_dedup, "trimmed", lambda *a: seen.append("trim") or trimmed(*a))
+    monkeypatch.setattr(near_dedup, "written", lambda *a, **b: seen.append("write") or written(*a, **b))
+    near_dedup.clustered(docs)
+    writes = [k for k, x in enumerate(seen) if x == "write"]
+    assert len(writes) > 10 and all(seen[k - 1] == "trim" for k in writes) and seen[0] == seen[-1] == "trim"
+
+
 def test_near_dedup_between_components(spark):
     """A chain of near copies around a hub, where stars alone don't find every link."""
     rng = random.Random(5)
