@@ -216,3 +216,14 @@ def test_filled_months_reads_its_values_once(spark, tmp_path):
     got = line.filled_months(spark.read.parquet(f"{tmp_path}/v"))
     assert sorted(tuple(r) for r in got.collect()) == [rows[0], ("p1", "A", "202312", 202312, None, None), rows[1], rows[2]]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_every_pin_keeps_its_rows(spark):
+    """A pin that only played outside the filters, and misses the condition, keeps its own figures; one that didn't play in the core scope has none."""
+    from pavilion.plans.leaderboard import leaderboard
+
+    rows = [("p1", "Team 1", "T20", 40), ("p2", "Team 9", "T20", 90), ("p3", "Team 1", "T20", 31), ("p9999", "Team 9", "T20", 13), ("p14", "Team 1", "ODI", 50), ("p5", "Team 1", "T20", 29)]
+    batting = spark.createDataFrame([(p, p.upper(), team, kind, "male", runs) for p, team, kind, runs in rows], "batter_id string, batter_name string, bowling_team string, match_type string, gender string, runs long")
+    spec = Spec(columns=("innings", "runs"), sort="runs", opposition=("Team 1",), groups=((Condition("runs", "gte", 30),),), pins=("p3", "p14", "p9999"))
+    got = leaderboard(spec, {"batting": batting, "matches": spark.createDataFrame([], "match_id string")})
+    assert [tuple(r) for r in got.select("player_id", "player_name", "innings", "runs", "pinned").collect()] == [("p3", "P3", 1, 31, True), ("p9999", "P9999", 1, 13, True), ("p14", None, None, None, True), ("p1", "P1", 1, 40, False)]
